@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.llm.common import slices
 from tracewell.llm.ngram import indicators
@@ -135,7 +136,7 @@ def score(documents: DataFrame, model: Model, keep: list[str] | None = None) ->
     """The columns `keep` (doc_id alone if None) and score of every row."""
     keep = keep or ["doc_id"]
     shared = documents.sparkSession.sparkContext.broadcast(model)  # 2^BITS floats, twice
-    schema = documents.select(*keep).schema.add("score", "double")
+    schema = T.StructType([*documents.select(*keep).schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):

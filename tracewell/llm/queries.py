@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import simhash, token_store
+from tracewell.llm import ann, quality, sentencepiece, simhash, token_store
 from tracewell.llm.common import Scratch, table
 
 #: Folder of the public vocabulary files; None: that of the installed package.
@@ -31,9 +31,32 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes every text, decodes the ids, and compares: ids' number, their crc32 (as text, joined by spaces), and whether the text came back."""
+    path = vocabulary("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = sentencepiece.encode(docs.withColumn("text_sha256", F.sha2("text", 256)), path)
+    back = sentencepiece.decode(coded, path)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"), F.length("text").cast("long").alias("n_chars"), (F.sha2("text", 256) == F.col("text_sha256")).alias("same_text"))
+
+
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(documents, quality.training_rows(labels), "quality")
+    scored = quality.score(documents, model).withColumn("held_out", quality.held_out())
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash": op6_simhash,
+    "op9_ann": op9_ann,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.llm.common import slices
 
@@ -211,7 +213,7 @@ class Pieces:
         if len(self.words) > CACHE_WORDS:
             self.words = {}
         known = self.words
-        missing = sorted({w for words in split for w in words if w not in known}, key=len)
+        missing = sorted(set(chain.from_iterable(split)).difference(known), key=lambda w: (len(w), w))
         short = [w for w in missing if len(w) <= LOCKSTEP]
         for i in range(0, len(short), 4096):
             part = short[i : i + 4096]
@@ -229,7 +231,7 @@ class Pieces:
 def encode(texts: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns but `text`, and the ids of the text as array<int>."""
     rest = [c for c in texts.columns if c != text]
-    schema = texts.select(*rest).schema.add(ids, "array<int>")
+    schema = T.StructType([*texts.select(*rest).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.get(path)
@@ -247,7 +249,7 @@ def encode(texts: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 def decode(coded: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
     """All columns, and the text of the ids."""
     names = coded.columns
-    schema = coded.schema.add(text, "string")
+    schema = T.StructType([*coded.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.get(path)
