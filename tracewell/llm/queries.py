@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import ann, quality, sentencepiece, simhash, token_store
+from tracewell.llm import ann, chat, html_text, quality, sentencepiece, simhash, token_store
 from tracewell.llm.common import Scratch, table
 
 #: Folder of the public vocabulary files; None: that of the installed package.
@@ -31,6 +31,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every text, decodes the ids, and compares: ids' number, their crc32 (as text, joined by spaces), and whether the text came back."""
     path = vocabulary("piece_bpe_32k.model")
@@ -40,6 +45,16 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"), F.length("text").cast("long").alias("n_chars"), (F.sha2("text", 256) == F.col("text_sha256")).alias("same_text"))
 
 
+#: A conversation whose texts hold what other templates use as marks.
+MARKS = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(MARKS, "conv_id long, turn long, role string, text string"))
+    return chat.digests(chat.format_messages(turns.withColumn("parts", chat.text_part(F.col("text")))))
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
@@ -53,8 +68,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op3_html_text": op3_html_text,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash": op6_simhash,
+    "op7_chat": op7_chat,
     "op9_ann": op9_ann,
     "op10_quality": op10_quality,
 }
