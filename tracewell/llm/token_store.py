@@ -20,9 +20,11 @@ order of their texts; an empty table gives a store without files and no rows; co
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ SAMPLE = 128
 BLOCK_TOKENS = 4 << 20
 #: Distinct words a worker remembers the ids of; beyond that it starts again.
 CACHE_WORDS = 500_000
+#: Marks at the end of a word, after a letter: no token spans their start.
+_TAIL = re.compile(rb"(?<=[a-z])[!-&(-/:-@\[-`{-~]+$")
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -150,7 +154,8 @@ class TokenFile:
 class WordCache:
     """Ids of whole texts by the tokenizers library, which sees each distinct word (between spaces or line feeds) once.
 
-    Exact for a tokenizer that drops white space before its merges and lower-cases: no token and no rule spans a space or a line feed.
+    Exact for a tokenizer that drops white space, lower-cases and splits runs of letters from runs of marks before its merges: no token and no rule
+    spans a space or a line feed, or the start of a run of marks (but apostrophes) after a letter.
     """
 
     _of: dict = {}
@@ -196,9 +201,14 @@ class WordCache:
         if len(self.words) > CACHE_WORDS:
             self.words = {}
         known = self.words
-        if missing := list({w for words in split for w in words if w not in known}):
+        ends = {w: _TAIL.search(w) for w in set(chain.from_iterable(split)).difference(known)}
+        ends = {w: m.start() if m else len(w) for w, m in ends.items()}
+        if missing := list({x for w, at in ends.items() for x in (w[:at], w[at:]) if x not in known}):
             self._learn(missing)
-        return [b"".join([known[w] for w in words]) for words in split]
+        for w, at in ends.items():
+            if at < len(w):
+                known[w] = known[w[:at]] + known[w[at:]]
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def _encode(tokenizer: str, end_id: int, block_tokens: int):
