@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import ann, chat, html_text, quality, sentencepiece, simhash, token_store
+from tracewell.llm import ann, chat, decontaminate, html_text, language, licenses, quality, sentencepiece, simhash, token_store
 from tracewell.llm.common import Scratch, table
 
 #: Folder of the public vocabulary files; None: that of the installed package.
@@ -31,11 +31,22 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text model is learnt from documents; hosts, declarations and addresses are those of the pages."""
+    model = language.fit(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    found = language.fuse(language.page_evidence(table(spark, sf_dir, "pages"), model), model.languages, Scratch(spark, "language"))
+    return found.withColumnRenamed("key", "page_id").withColumn("posterior", F.round("posterior", 6))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every text, decodes the ids, and compares: ids' number, their crc32 (as text, joined by spaces), and whether the text came back."""
     path = vocabulary("piece_bpe_32k.model")
@@ -55,6 +66,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_messages(turns.withColumn("parts", chat.text_part(F.col("text")))))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
@@ -68,10 +83,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_licenses": op2_licenses,
     "op3_html_text": op3_html_text,
+    "op4_language": op4_language,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_simhash": op6_simhash,
     "op7_chat": op7_chat,
+    "op8_decontaminate": op8_decontaminate,
     "op9_ann": op9_ann,
     "op10_quality": op10_quality,
 }
