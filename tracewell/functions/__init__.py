@@ -1 +1 @@
-
+"""Column rules."""

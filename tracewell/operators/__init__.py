@@ -1 +1 @@
-
+"""Relational operators over long feature relations."""

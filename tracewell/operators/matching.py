@@ -109,6 +109,8 @@ def in_order_greedy(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame
     """
 
     def match(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=["pair", "id_a", "id_b", "cosine"])
         left, right = left.sort_values("order"), right.sort_values("order")
         norm = lambda h: sum(v * v for v in h.values()) ** 0.5
         free = [(r.id, dict(r.h), norm(dict(r.h))) for r in right.itertuples()]
