@@ -108,12 +108,16 @@ def in_order_greedy(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame
     a, b: (pair, sig, order, id, h). The rule is sequential by definition, so each signature of a pair is one task's; a signature holds the functions of two packages that share a shape.
     """
 
+    # both sides may come from one plan: each gets columns of its own, or the cogroup would mix them up
+    sig = F.to_json(F.struct("sig")).alias("sig")
+    a, b = a.select("pair", sig, "order", "id", "h"), b.select(*(F.col(c).alias(f"b_{c}") for c in ("pair", "order", "id", "h")), sig.alias("b_sig"))
+
     def match(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
+        if left.empty or right.empty:  # such a side has no columns either
             return pd.DataFrame(columns=["pair", "id_a", "id_b", "cosine"])
-        left, right = left.sort_values("order"), right.sort_values("order")
+        left, right = left.sort_values("order"), right.sort_values("b_order")
         norm = lambda h: sum(v * v for v in h.values()) ** 0.5
-        free = [(r.id, dict(r.h), norm(dict(r.h))) for r in right.itertuples()]
+        free = [(r.b_id, dict(r.b_h), norm(dict(r.b_h))) for r in right.itertuples()]
         out = []
         for row in left.itertuples():
             h = dict(row.h)
@@ -127,7 +131,7 @@ def in_order_greedy(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame
 
     pair = a.schema["pair"].dataType.simpleString()
     kind = a.schema["id"].dataType.simpleString()
-    return a.groupBy("pair", "sig").cogroup(b.groupBy("pair", "sig")).applyInPandas(match, f"pair {pair}, id_a {kind}, id_b {kind}, cosine double")
+    return a.groupBy("pair", "sig").cogroup(b.groupBy("b_pair", "b_sig")).applyInPandas(match, f"pair {pair}, id_a {kind}, id_b {kind}, cosine double")
 
 
 def match_rollup(matched: DataFrame, n_a: int, n_b: int) -> dict:
