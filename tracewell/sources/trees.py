@@ -28,7 +28,7 @@ def files(spark: SparkSession, root: str, impl: str, glob: str = "*.py") -> Data
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     base = root.rstrip("/").split("://")[-1].lstrip("/")
     path = F.regexp_replace(F.col("path"), rf"^.*?\Q{base}\E/", "")
-    return found.select(F.lit(impl).alias("impl"), path.alias("path"), "content", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return found.select(F.lit(impl).alias("impl"), path.alias("path"), "content", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def in_repo_scope(path: Column) -> Column:
