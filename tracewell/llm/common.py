@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once; a single longer text makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _PRIME = 0x9E3779B97F4A7C15
 _CHUNK = 1 << 18
 _U = np.uint64
@@ -63,6 +64,24 @@ class Scratch:
             self._fs.delete(self._at(df._scratch_path), True)
 
 
+#: Ids that are broadcast to an anti join, at most.
+BROADCAST_IDS = 200_000
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """rows whose key isn't among ids(key). Up to BROADCAST_IDS ids, counted first, go to the rows; more of them are joined by a shuffle."""
+    ids = scratch.write(ids.select(key).distinct(), "ids")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti").select(*rows.columns)
+
+
+def spare(columns: list[str], name: str) -> str:
+    """The name, with as many underscores in front as make it new among the columns (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `most` bytes of text, or a single longer text."""
     for batch in batches:
@@ -79,7 +98,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, and the n+1 offsets of its texts in them. Null is empty."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    column = pc.fill_null(column.cast(pa.large_string()), "")
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)

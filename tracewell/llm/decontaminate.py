@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import NOT_ALNUM, byte_classes, hash_words, slices, text_bytes, word_rows
+from tracewell.llm.common import NOT_ALNUM, byte_classes, hash_words, slices, spare, text_bytes, word_rows
 
 #: Items of a block.
 ITEMS = 256
@@ -99,9 +99,9 @@ class Block:
         """Add A'(A G) of sparse rows to a sketch; the number of rows."""
         total = 0
         cuts = np.flatnonzero(np.diff(row, prepend=-1))
-        for i in range(0, len(cuts), 2048):
-            a, b = cuts[i], cuts[i + 2048] if i + 2048 < len(cuts) else len(row)
-            first = cuts[i : i + 2048] - a
+        for i in range(0, len(cuts), 512):  # a few MB at a time
+            a, b = cuts[i], cuts[i + 512] if i + 512 < len(cuts) else len(row)
+            first = cuts[i : i + 512] - a
             y = np.add.reduceat(gaussian[term[a:b]] * weight[a:b, None].astype(np.float32), first, axis=0)
             order = np.argsort(term[a:b], kind="stable")
             of = np.repeat(np.arange(len(first)), np.diff(np.append(first, b - a)))
@@ -156,15 +156,15 @@ class Block:
         starts = np.flatnonzero(np.diff(window, prepend=-1))
         windows = window[starts]
         size = np.sqrt(np.add.reduceat(weight * weight, starts))
-        for i in range(0, len(windows), 4096):
-            part = windows[i : i + 4096]
+        for i in range(0, len(windows), 1024):
+            part = windows[i : i + 1024]
             latent = np.zeros((len(part), sums.shape[1]), np.float32)
             for j in range(wide):
                 s = np.minimum(part + j, base[-1] - 1)
                 n = np.minimum(np.searchsorted(steps_with, s), len(steps_with) - 1)
                 ok = (steps_with[n] == part + j) & (text_of[s] == text_of[part])
                 latent[ok] += sums[n[ok]]
-            cosine = (latent @ self.latent) / size[i : i + 4096, None]
+            cosine = (latent @ self.latent) / size[i : i + 1024, None]
             for w, p in zip(*np.nonzero(cosine >= COSINE)):
                 t = text_of[part[w]]
                 yield int(first[t] + (part[w] - base[t]) * STEP), int(p), float(cosine[w, p])
@@ -220,7 +220,7 @@ class Block:
 def _counts(block: Block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, df = 0, np.zeros(len(block.terms.hashes), np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 19):
             words, first = words_of(batch.column("text"))
             runs, row = _runs(first)
             total += runs
@@ -245,7 +245,7 @@ def _sketch(block: Block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gaussian = block.gaussian()
         sketch, total = np.zeros_like(gaussian), 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 19):
             words, first = words_of(batch.column("text"))
             _, row = _runs(first)
             at, term = block.terms.find(words)
@@ -307,7 +307,7 @@ def with_leaks(documents: DataFrame, benchmark: DataFrame, answer: str | None =
             blocks, held = [*blocks, fit(documents, held)], []
     if held:
         blocks.append(fit(documents, held))
-    names = documents.columns
+    names = [c for c in documents.columns if c != leaks]
     out = documents.withColumn(leaks, F.lit(None).cast(T.ArrayType(LEAK)))
     for block in filter(None, blocks):
         out = _annotate(out, spark.sparkContext.broadcast(block), leaks)
@@ -319,7 +319,7 @@ def _annotate(documents: DataFrame, shared, leaks: str) -> DataFrame:
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 19):
             found = shared.value.leaks(batch.column("text").cast(pa.string()))
             old = batch.column(leaks).to_pylist()
             cols = [pa.array([[*(a or []), *b] for a, b in zip(old, found)], pa.list_(_LEAK)) if c == leaks else batch.column(i) for i, c in enumerate(names)]
@@ -336,4 +336,5 @@ def leaked_items(documents: DataFrame, benchmark: DataFrame, answer: str | None
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, answer: str | None = None) -> DataFrame:
     """The documents that leak no item, with their own columns."""
-    return with_leaks(documents, benchmark, answer, "_leaks").where(F.size("_leaks") == 0).select(*documents.columns)
+    found = spare(documents.columns, "leaks")
+    return with_leaks(documents, benchmark, answer, found).where(F.size(found) == 0).select(*documents.columns)

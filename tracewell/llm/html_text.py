@@ -8,7 +8,7 @@ class or id of theirs, names a menu, header, footer, sidebar, notice, advert, fo
 with C its characters, T its block tags, LC and LT the characters and number of its links, NC its characters outside links, and LCb, Cb those of the body; zeros count as
 one. The node with the largest sum of its children's densities is the core. Its article is the closest article or main element around it, else the closest
 element around it whose class or id names content, and such elements right around that; then all blocks in it are the text. Without any, the threshold is the smallest density on the path
-from the core to the body, and every subtree of at least that density gives its own core too.
+from the core to the body, and every subtree of at least that density (and more than none) gives its own core too.
 
 Text: character references decoded, white space inside a block turned into one space, trimmed, blocks joined by a blank line in page order.
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import slices
+from tracewell.llm.common import slices, spare
 
 #: Elements whose text is never the article's.
 NEVER = frozenset("head script style noscript template nav header footer aside form button select option textarea input label fieldset iframe object embed svg canvas audio video map dialog menu".split())
@@ -210,7 +210,7 @@ class Page:
                 if total[best[i]] > total[best[p]]:
                     best[p] = best[i]
             for i in range(n):
-                if own[i] >= least and i not in around:
+                if own[i] >= least and own[i] > 0 and i not in around:
                     inside[best[i]] = True
             inside[core] = True
         for i in range(1, n):
@@ -223,13 +223,14 @@ def main_text(source: str | None) -> str:
 
 
 def extract(pages: DataFrame, source: str = "html", text: str = "text") -> DataFrame:
-    """All columns but `source`, and the main text; no shuffle."""
+    """All columns but `source`, and the main text (in the place of a column of that name); no shuffle."""
     rest = [c for c in pages.columns if c not in (source, text)]
+    held = spare(rest, "html")
     schema = T.StructType([*pages.select(*rest).schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_html"):
-            texts = [main_text(x) for x in batch.column("_html").to_pylist()]
+        for batch in slices(batches, held):
+            texts = [main_text(x) for x in batch.column(held).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), pa.array(texts, pa.string())], [*rest, text])
 
-    return pages.select(*rest, F.col(source).cast("string").alias("_html")).mapInArrow(run, schema)
+    return pages.select(*rest, F.col(source).cast("string").alias(held)).mapInArrow(run, schema)

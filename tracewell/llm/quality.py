@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import slices
+from tracewell.llm.common import slices, spare
 from tracewell.llm.ngram import indicators
 
 BITS = 18
@@ -132,18 +132,19 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", bits: i
     return Model(bits, scale, _descend(rows, scale, y, cost), a, b)
 
 
-def score(documents: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (doc_id alone if None) and score of every row."""
-    keep = keep or ["doc_id"]
+def score(documents: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns `keep` (doc_id alone if None) and the score of every row (in the place of a column of that name)."""
+    keep = [c for c in keep or ["doc_id"] if c != name]
+    held = spare(keep, "text")
     shared = documents.sparkSession.sparkContext.broadcast(model)  # 2^BITS floats, twice
-    schema = T.StructType([*documents.select(*keep).schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*documents.select(*keep).schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            scores = pa.array(shared.value.scores(batch.column("_text")))
+        for batch in slices(batches, held):
+            scores = pa.array(shared.value.scores(batch.column(held)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), scores], schema.fieldNames())
 
-    return documents.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return documents.select(*keep, F.col("text").cast("string").alias(held)).mapInArrow(run, schema)
 
 
 def training_rows(labels: DataFrame) -> DataFrame:

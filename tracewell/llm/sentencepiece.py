@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import slices
+from tracewell.llm.common import slices, spare
 
 MARK = "▁"
 #: Words a worker remembers; beyond that it starts again.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Bytes of a word that is coded in lockstep; longer ones are coded one by one.
 LOCKSTEP = 48
 _WORD = re.compile(rb" +[^ ]*|[^ ]+")
@@ -228,32 +228,37 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
-def encode(texts: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """All columns but `text`, and the ids of the text as array<int>."""
-    rest = [c for c in texts.columns if c != text]
-    schema = T.StructType([*texts.select(*rest).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+def encode(texts: DataFrame, path: str, text: str = "text", ids: str = "ids", same: str | None = None) -> DataFrame:
+    """All columns but `text`, and the ids of the text as array<int>; if `same` is given, also whether the decoded ids are the text (in the place of columns of those names)."""
+    rest = [c for c in texts.columns if c not in (text, ids, same)]
+    held = spare(rest, "text")
+    schema = T.StructType([*texts.select(*rest).schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(same, T.BooleanType())] if same else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.get(path)
-        for batch in slices(batches, "_text"):
-            strings = batch.column("_text").to_pylist()
+        for batch in slices(batches, held):
+            strings = batch.column(held).to_pylist()
             coded = pieces.encode([x or "" for x in strings])
             sizes = np.array([len(x) for x in coded]) // pieces.kind.itemsize
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32(), mask=np.append([x is None for x in strings], False))
             values = pa.array(np.frombuffer(b"".join(coded), pieces.kind), pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), pa.ListArray.from_arrays(offsets, values)], [*rest, ids])
+            out = [*(batch.column(i) for i in range(len(rest))), pa.ListArray.from_arrays(offsets, values)]
+            if same:
+                out.append(pa.array([None if x is None else pieces.decode(np.frombuffer(c, pieces.kind)) == x for x, c in zip(strings, coded)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(out, schema.fieldNames())
 
-    return texts.select(*rest, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return texts.select(*rest, F.col(text).cast("string").alias(held)).mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
-    """All columns, and the text of the ids."""
+    """All columns, and the text of the ids (in the place of a column of that name)."""
+    coded = coded.select(*(c for c in coded.columns if c != text))
     names = coded.columns
     schema = T.StructType([*coded.schema.fields, T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.get(path)
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             column = batch.column(ids)
             there = column.is_valid().to_pylist()
             lists = [None if not ok else pieces.decode(np.array([-1 if i is None else i for i in x.as_py()]) if x.values.null_count else x.values.to_numpy()) for ok, x in zip(there, column)]
