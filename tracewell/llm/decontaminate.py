@@ -53,6 +53,22 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words, word_rows(starts, offsets)
 
 
+def segment_sums(x: np.ndarray, index: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of x[index[first[i]:first[i + 1]]] for each i. Segments are added up side by side, longest first, so that each step adds whole rows."""
+    size = np.diff(np.append(first, len(index)))
+    order = np.argsort(-size, kind="stable")
+    start, size = first[order], size[order]
+    out = np.zeros((len(first), x.shape[1]), x.dtype)
+    open_ = len(first)
+    for i in range(int(size[0]) if len(size) else 0):
+        while size[open_ - 1] <= i:
+            open_ = int(np.searchsorted(-size, -i, side="left"))
+        out[:open_] += np.take(x, index[start[:open_] + i], axis=0)
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    return out[back]
+
+
 class Terms:
     """Numbers of known words."""
 
@@ -85,47 +101,45 @@ class Block:
                     self.answers.append(own)
         self.terms = Terms(np.concatenate(self.passages)) if self.passages else None
 
-    def rows(self, at: np.ndarray, term: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """TF-IDF rows of length one, sparse: (row, term, weight), by row. Rows without weight are left out."""
+    def rows(self, term: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of occurrences of terms, by row, those that weigh; and the length of each row's TF-IDF vector."""
+        some = self.idf[term] > 0
+        term, row = term[some], row[some]
         both, count = np.unique(row.astype(np.int64) * len(self.idf) + term, return_counts=True)
-        row, term = both // len(self.idf), both % len(self.idf)
-        weight = count * self.idf[term]
-        some = weight > 0
-        row, term, weight = row[some], term[some], weight[some]
-        size = np.sqrt(np.bincount(row, weight * weight)) if len(row) else np.zeros(0)
-        return row, term, weight / size[row] if len(row) else weight
+        weight = count * self.idf[both % len(self.idf)]
+        return term, row, np.sqrt(np.bincount(both // len(self.idf), weight * weight)) if len(row) else np.zeros(0)
 
-    def sketch(self, sketch: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, gaussian: np.ndarray) -> int:
-        """Add A'(A G) of sparse rows to a sketch; the number of rows."""
+    def sketch(self, sketch: np.ndarray, term: np.ndarray, row: np.ndarray, size: np.ndarray, scaled: np.ndarray) -> int:
+        """Add A'(A G) of TF-IDF rows of length one to a sketch, but for the idf of its rows; scaled is G with its rows times idf. Returns the number of rows."""
         total = 0
         cuts = np.flatnonzero(np.diff(row, prepend=-1))
         for i in range(0, len(cuts), 512):  # a few MB at a time
             a, b = cuts[i], cuts[i + 512] if i + 512 < len(cuts) else len(row)
             first = cuts[i : i + 512] - a
-            y = np.add.reduceat(gaussian[term[a:b]] * weight[a:b, None].astype(np.float32), first, axis=0)
+            y = segment_sums(scaled, term[a:b], first)
+            y /= (size[row[cuts[i : i + 512]]] ** 2)[:, None].astype(np.float32)
             order = np.argsort(term[a:b], kind="stable")
             of = np.repeat(np.arange(len(first)), np.diff(np.append(first, b - a)))
             terms = term[a:b][order]
             edges = np.flatnonzero(np.diff(terms, prepend=-1))
-            sketch[terms[edges]] += np.add.reduceat(y[of[order]] * weight[a:b][order, None].astype(np.float32), edges, axis=0)
+            sketch[terms[edges]] += segment_sums(y, of[order], edges)
             total += len(first)
         return total
 
     def gaussian(self) -> np.ndarray:
-        return np.random.default_rng(7).standard_normal((len(self.idf), min(RANK, len(self.idf)))).astype(np.float32)
-
-    def own_rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = [self.terms.find(p) for p in self.passages]
-        return self.rows(np.concatenate([a for a, _ in found]), np.concatenate([n for _, n in found]), np.repeat(np.arange(len(found)), [len(a) for a, _ in found]))
+        """G with its rows times idf."""
+        g = np.random.default_rng(7).standard_normal((len(self.idf), min(RANK, len(self.idf))))
+        return (g * self.idf[:, None]).astype(np.float32)
 
     def span(self, sketch: np.ndarray, n_rows: int) -> None:
         """The latent space from the documents' sketch, and the passages in it."""
-        row, term, weight = self.own_rows()
+        found = [self.terms.find(p)[1] for p in self.passages]
+        term, row, size = self.rows(np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found]))
         own = np.zeros_like(sketch)
-        count = self.sketch(own, row, term, weight, self.gaussian())
-        basis, _ = np.linalg.qr((sketch + own * max(1.0, n_rows / max(1, count))).astype(np.float64))
+        count = self.sketch(own, term, row, size, self.gaussian())
+        basis, _ = np.linalg.qr((sketch + own * max(1.0, n_rows / max(1, count))).astype(np.float64) * self.idf[:, None])
         latent = np.zeros((len(self.passages), basis.shape[1]))
-        np.add.at(latent, row, basis[term] * weight[:, None])
+        np.add.at(latent, row, basis[term] * self.idf[term][:, None])
         self.basis = (basis * self.idf[:, None]).astype(np.float32)  # of a term's occurrence
         self.latent = np.ascontiguousarray((latent / np.maximum(np.sqrt((latent * latent).sum(axis=1)), 1e-9)[:, None]).T.astype(np.float32))
 
@@ -143,7 +157,7 @@ class Block:
         text = np.searchsorted(first, at, side="right") - 1
         step = base[text] + (at - first[text]) // STEP
         steps_with, where = np.unique(step, return_index=True)
-        sums = np.add.reduceat(self.basis[term], where, axis=0)
+        sums = segment_sums(self.basis, term, where)
         wide = WINDOW // STEP
         text_of = np.repeat(np.arange(len(steps)), steps)
         # each step's terms belong to the windows that begin at it and up to wide - 1 steps before, in the same text
@@ -250,7 +264,7 @@ def _sketch(block: Block):
             _, row = _runs(first)
             at, term = block.terms.find(words)
             if len(at):
-                total += block.sketch(sketch, *block.rows(at, term, row[at]), gaussian)
+                total += block.sketch(sketch, *block.rows(term, row[at]), gaussian)
         if total:
             parts = range(0, len(sketch), _ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([total] * len(parts)), pa.array([sketch[i : i + _ROWS].tobytes() for i in parts], pa.binary())], ["part", "n", "body"])
