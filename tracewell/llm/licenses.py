@@ -8,7 +8,7 @@ template's length more on both sides) has that share of the template's distinct
 
 A window without any template's shingle has no minimum in common with one (the permutations are one-to-one), so its signature is not worked out.
 
-Matches of one template that overlap are one; each match is a row. Templates are a parameter; their number is small and they go to every task.
+Of matches of one template that overlap the best (then the first) is kept; each match is a row. Templates are a parameter; their number is small and they go to every task.
 
 Cases: null text is empty and matches nothing; templates of under SHINGLE words are not sought; null doc_ids and equal rows each come out; templates with equal texts all match; an
 empty table gives no rows; other columns are not read.
@@ -118,24 +118,24 @@ class Templates:
                 keys = self._keys(self._minima(h[starts[i : i + 4096, None] + np.arange(m)]))
                 for start, row in zip(starts[i : i + 4096].tolist(), keys.tolist()):
                     candidates.update((n, start - piece) for key in row for n, piece in bands.get(key, ()))
-        out: list[list[tuple[int, float, int, int]]] = [[] for _ in range(len(texts))]
-        for n, at in sorted(candidates):
+        found: dict[tuple[int, int], set[tuple[float, int, int]]] = defaultdict(set)
+        for n, at in candidates:
             own = self.shingles[n]
             size = len(own)
-            middle = max(0, at + size // 2)
-            text = int(np.searchsorted(first, min(middle, first[-1] - 1), side="right")) - 1
+            text = int(np.searchsorted(first, min(max(0, at + size // 2), first[-1] - 1), side="right")) - 1
             lo, hi = int(first[text]), int(first[text + 1]) - self.shingle + 1
             a, b = max(lo, at - size // 4 - 1), min(hi, at + size + size // 4 + 1)
-            if b <= a:
-                continue
-            inside = np.isin(h[a:b], own)
-            share = len(np.unique(h[a:b][inside])) / len(own)
+            where = np.flatnonzero(np.isin(h[a:b], own)) if b > a else np.zeros(0, np.int64)
+            share = len(np.unique(h[a:b][where])) / size
             if share >= CONTAINMENT:
-                where = np.flatnonzero(inside)
-                start, end = a + int(where[0]), a + int(where[-1]) + self.shingle
-                if out[text] and out[text][-1][0] == n and out[text][-1][3] + lo > start:
-                    continue
-                out[text].append((n, share, start - lo, end - lo))
+                found[text, n].add((-share, a + int(where[0]) - lo, a + int(where[-1]) + self.shingle - lo))
+        out: list[list[tuple[int, float, int, int]]] = [[] for _ in range(len(texts))]
+        for (text, n), spans in sorted(found.items()):
+            kept: list[tuple[int, float, int, int]] = []
+            for share, a, b in sorted(spans):  # the best of those that overlap
+                if all(b <= x or a >= y for _, _, x, y in kept):
+                    kept.append((n, -share, a, b))
+            out[text] += sorted(kept, key=lambda k: k[2])
         return out
 
 
