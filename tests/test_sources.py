@@ -107,3 +107,23 @@ def test_signals_of_two_packages(spark):
     assert literals["table"] == 1.0 and literals["float"] == 1.0 and literals["import"] == pytest.approx(2 / 5)
     names = {r.id: r.component for r in Q.x2_name_graph(spark, "").where("g = 'old'").collect()}
     assert names["helper_one"] == names["helper_two"] == "helper_one"
+
+
+def test_envelope_intervals_and_validation(spark):
+    rows = {(r.a, r.b): r for r in Q.q9_envelope(spark, "").collect()}
+    assert rows["old", "new"].combined > 0.9 > 0.7 > rows["old", "other"].combined
+    found = {r.signal: r for r in Q.q20_intervals(spark, "").collect()}
+    assert set(found) == {"control_flow", "topology", "wl", "functions"} and all(r.n_resamples == 40 and 0 <= r.lower <= r.upper <= 1 + 1e-9 for r in found.values())
+    assert {r.name: r.agrees for r in Q.q21_validation(spark, "").collect()} == {"old.return": True, "edges.old": True, "edges.new": False}
+
+
+def test_resamples_differ_in_set_and_multiset_semantics(spark):
+    from tracewell.operators import bootstrap as BS
+
+    drawn = spark.createDataFrame([(0, "a", "f", 2), (0, "b", "f", 1)], "rep int, side string, path string, weight int")
+    hist = spark.createDataFrame([("a", "f", "x", 1), ("a", "f", "y", 1), ("b", "f", "x", 2)], "side string, path string, key string, cnt long")
+    assert BS.histogram_cosine(hist, drawn).first().metric == pytest.approx(1 / 2**0.5)
+    nodes = spark.createDataFrame([(s, "f", i) for s in "ab" for i in "xy"], "side string, path string, id string")
+    calls = spark.createDataFrame([(s, "f", "x", "y") for s in "ab"], "side string, path string, src string, dst string")
+    assert BS.topology_similarity(nodes, calls, drawn).first().metric == 1.0
+    assert BS.wl_cosine(nodes, calls, drawn).first().metric == pytest.approx(1.0)

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import QUIRK_STOP, degree_bucket, is_distinctive, is_message, map_cosine, message, pair_distance, shingles
+from tracewell.operators import bootstrap as BS
 from tracewell.operators import graph as G
 from tracewell.operators import matching as M
 from tracewell.operators import provenance as P
 from tracewell.operators import similarity as S
+from tracewell.operators import statistics as T
 from tracewell.plans.registry import query
 from tracewell.sources import python_code as C
 from tracewell.sources import trees
@@ -101,14 +103,35 @@ def helper_value(p):
     "pack/util.py": "import sys\ndef helper_one(a, b):\n    return a + b if a else helper_two(b)\ndef helper_two(b):\n    return helper_one(b, 1)\n",
 }
 
+OTHER = {
+    "pack/__init__.py": "from pack.board import Board\n__all__ = ['Board']\n",
+    "pack/board.py": '''import random
+class Board:
+    """Keeps squares of a game."""
+    def __init__(self, width=8):
+        self.squares = [[None] * width for _ in range(width)]
+    def move_piece(self, origin, target):
+        piece = self.squares[origin[0]][origin[1]]
+        assert piece is not None, "there is no piece to move"
+        self.squares[target[0]][target[1]] = piece
+        return {k: v for k, v in zip("ab", target)}
+    def shuffle_all(self):
+        random.shuffle(self.squares)
+        return [s for row in self.squares for s in row if s]
+''',
+}
+#: Pairs of implementations, and whether the second derives from the first.
+PAIRS = [("old", "new", "POS"), ("old", "other", "NEG"), ("new", "other", "NEG")]
+
 
-def sources(spark: SparkSession) -> DataFrame:
-    rows = [(impl, p, t) for impl, files in (("old", OLD), ("new", NEW)) for p, t in files.items()]
+def sources(spark: SparkSession, with_other: bool = False) -> DataFrame:
+    sides = [("old", OLD), ("new", NEW), *([("other", OTHER)] if with_other else [])]
+    rows = [(impl, p, t) for impl, files in sides for p, t in files.items()]
     return spark.createDataFrame(rows, "impl string, path string, text string").where(trees.in_repo_scope(F.col("path")))
 
 
-def features(spark: SparkSession) -> DataFrame:
-    return C.extract(sources(spark))
+def features(spark: SparkSession, with_other: bool = False) -> DataFrame:
+    return C.extract(sources(spark, with_other))
 
 
 def _set(rows: DataFrame, column: str = "name") -> DataFrame:
@@ -244,3 +267,80 @@ def s9_hard_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = spark.createDataFrame([(1, "Größe und Maß über Straßen"), (2, "Съешь ещё этих мягких булок"), (3, "いろはにほへと ちりぬるを"), (4, "plain ascii text")], "text_id int, text string")
     made = trees.hard_workload(texts).select(F.col("digest").alias("item_id"), "payload")
     return made.unionByName(trees.adversarial(spark)).select("item_id", F.hex("payload").alias("payload"))
+
+
+def measures(spark: SparkSession) -> DataFrame:
+    """(a, b, label, measure, value): every static measure of every pair of implementations, as rows."""
+    found = features(spark, True).persist()
+    sides = found.select(F.col("impl").alias("side")).distinct()
+    view = lambda k: C.view(found, k)
+    counted = lambda k: view(k).groupBy(F.col("impl").alias("side"), F.col("name").alias("key")).agg(F.sum("n").alias("cnt"))
+    streams = S.histogram(view("stream").select("impl", F.explode(shingles(F.col("items"), 5)).alias("gram")), "impl", "gram")
+    graph = name_graph(found)
+    labels = G.wl_labels(*graph, rounds=4, successors_only=True).withColumn("key", F.concat_ws(":", "iter", "label"))
+    strong = G.strong_components(*graph).groupBy("g").agg((F.count_distinct("component") / F.count(F.lit(1))).alias("scc_ratio"))
+    topology = G.topology(*graph).join(strong, "g")
+    shape = view("pilot_fn").select("impl", F.struct("shape.n_pos", "shape.n_kw", "shape.va", "shape.kw").alias("sig"), F.concat_ws(":", "path", "name").alias("id"), "h").withColumn("order", F.crc32("id"))
+    pairs = spark.createDataFrame(PAIRS, "a string, b string, label string")
+    left, right = (shape.join(pairs.select(F.col(x).alias("impl"), F.concat_ws(">", "a", "b").alias("pair")), "impl") for x in "ab")
+    matched = M.in_order_greedy(left, right).groupBy("pair").agg(F.avg("cosine").alias("value"))
+    matched = pairs.withColumn("pair", F.concat_ws(">", "a", "b")).join(matched, "pair", "left").select("a", "b", F.coalesce("value", F.lit(0.0)).alias("value"))
+    idents = _set(view("ident"))
+    messages = _set(view("string").where(is_message(F.col("name"))).withColumn("name", message(F.col("name"))))
+    text_words = lambda kind: _set(view(kind).select("impl", F.explode(F.regexp_extract_all(F.lower("name"), F.lit("([a-z]{4,})"), 1)).alias("name")).where(~F.col("name").isin(QUIRK_STOP)))
+    sets = {"imports": _set(view("import").where("name <> 'pack'")), "floats": _set(view("float"), "x"), "messages": messages, "identifiers": idents, "distinctive": idents.where(is_distinctive(F.col("key"))), "doc_words": text_words("doc"), "comment_words": text_words("comment")}
+    rows = {
+        "shingles": S.overlap(streams, sides).withColumnRenamed("overlap", "value"),
+        "control_flow": S.cosine(counted("control"), sides).withColumnRenamed("cosine", "value"),
+        "node_types": S.cosine(counted("node"), sides).withColumnRenamed("cosine", "value"),
+        "topology": S.feature_similarity(topology, "g", ["density", "scc_ratio", "mean_in", "max_in", "mean_out", "max_out"]).withColumnRenamed("similarity", "value"),
+        "wl": S.cosine(S.histogram(labels, "g", "key"), sides).withColumnRenamed("cosine", "value"),
+        "functions": matched,
+        "tables": S.overlap(S.histogram(view("table"), "impl", "name"), sides).withColumnRenamed("overlap", "value"),
+    } | {k: S.jaccard(v, sides, both_empty=1.0).select("a", "b", F.col("jaccard").alias("value")) for k, v in sets.items()}
+    out = None
+    for name, df in rows.items():
+        part = df.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.lit(name).alias("measure"), "value")
+        out = part if out is None else out.unionByName(part)
+    ordered = pairs.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b"))
+    return ordered.join(out, ["lo", "hi"]).select("a", "b", "label", "measure", "value")
+
+
+@query()
+def q9_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The six structural measures of each pair in order: smallest, second, upper median, largest, and their mean."""
+    six = ["shingles", "control_flow", "node_types", "topology", "wl", "functions"]
+    wide = measures(spark).groupBy("a", "b", "label").pivot("measure", six).agg(F.first("value"))
+    lo, second, median, hi = S.envelope(*map(F.col, six))
+    return wide.select("a", "b", "label", *six, lo.alias("lo"), second.alias("second"), median.alias("upper_median"), hi.alias("hi"), S.nan_mean(*map(F.col, six)).alias("combined"))
+
+
+@query()
+def q14_measure_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well each measure tells derived pairs from independent ones."""
+    return T.auc(measures(spark), ["measure"], "value", F.col("label") == "POS")
+
+
+@query()
+def q20_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentile intervals of four signals over resampled files (and matches) of the two packages."""
+    found = features(spark).withColumn("side", F.when(F.col("impl") == "old", "a").otherwise("b")).persist()
+    paths = [sorted(p for p in files if not p.startswith("broken")) for files in (OLD, NEW)]
+    drawn = BS.resamples(spark, *paths, reps=40).persist()
+    control = C.view(found, "control").select("side", "path", F.col("name").alias("key"), F.col("n").alias("cnt"))
+    graph = C.view(found, "call_fn").select("side", "path", F.col("name").alias("id")), C.view(found, "call_edge").select("side", "path", F.col("a").alias("src"), F.col("b").alias("dst"))
+    matches = j3_function_matches(spark, sf_dir).orderBy("i", "j").toPandas()
+    numbered = spark.createDataFrame([(i, float(d)) for i, d in enumerate(matches["distance"])], "idx int, distance double")
+    out = BS.interval(BS.histogram_cosine(control, drawn), "control_flow")
+    for signal, metrics in (("topology", BS.topology_similarity(*graph, drawn)), ("wl", BS.wl_cosine(*graph, drawn, rounds=2)), ("functions", BS.mean_similarity(numbered, reps=40))):
+        out = out.unionByName(BS.interval(metrics, signal))
+    return out
+
+
+@query()
+def q21_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recomputed numbers of the two packages against those expected; one is wrong on purpose, so that a disagreement shows."""
+    control = x6_control_flow(spark, sf_dir).where("side = 'old' and key = 'Return'").select(F.lit("old.return").alias("name"), F.col("cnt").cast("string").alias("value"))
+    edges = x1_call_graph(spark, sf_dir).groupBy("g").agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.concat(F.lit("edges."), "g").alias("name"), "value")
+    expected = [("old.return", "6"), ("edges.old", "11"), ("edges.new", "0")]
+    return P.reconcile(spark.createDataFrame(expected, "name string, value string"), control.unionByName(edges))
