@@ -65,30 +65,46 @@ def reachable(edges: DataFrame) -> DataFrame:
         count = new
 
 
+def _settle(at: DataFrame, step, steps: int = 3) -> DataFrame:
+    """Repeats a step on (g, id, ...) until its rows stay the same, a few steps to a written table."""
+    total = None
+    while True:
+        for _ in range(steps):
+            at = step(at)
+        at = cut(at)
+        new = tuple(at.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*at.columns).cast("decimal(20,0)"))).first())
+        if new == total:
+            return at
+        total = new
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(g, id, component): component is the smallest node that a node reaches and is reached by.
 
-    Minimum labels spread forwards and backwards among the nodes that aren't settled; those whose two labels are the same node are its component.
-    A round shuffles the edges once a direction and never builds the pairs of a closure.
+    Colouring (Orzan, 2004): a round settles nodes without edges in or out as they are; spreads to each other node the smallest node that reaches it, its colour; and finds backwards from
+    each colour's own node what reaches it inside the colour: its component. The rest go on without them. Every step is a join and an aggregate; no closure is built.
     """
-    done = None
-    left = cut(nodes.select("g", "id"))
+    done, left = None, nodes.select("g", "id")
     while True:
         inside = edges.join(left.select("g", F.col("id").alias("src")), ["g", "src"], "left_semi").join(left.select("g", F.col("id").alias("dst")), ["g", "dst"], "left_semi")
         inside = cut(inside.select("g", "src", "dst"))
-        labels = []
-        for a, b in (("src", "dst"), ("dst", "src")):  # the smallest node that reaches it, then the smallest that it reaches
-            at, total = cut(left.select("g", "id", F.col("id").alias("low"))), None
-            while True:
-                sent = inside.join(at.select("g", F.col("id").alias(a), "low"), ["g", a]).select("g", F.col(b).alias("id"), "low")
-                at = cut(at.unionByName(sent).groupBy("g", "id").agg(F.min("low").alias("low")))
-                new = at.agg(F.sum(F.xxhash64("g", "id", "low").cast("decimal(20,0)"))).first()[0]
-                if new == total:
-                    break
-                total = new
-            labels.append(at)
-        both = labels[0].join(labels[1].withColumnRenamed("low", "back"), ["g", "id"])
-        settled = cut(both.where(F.col("low") == F.col("back")).select("g", "id", F.col("low").alias("component")))
+        both = inside.select("g", F.col("src").alias("id")).intersect(inside.select("g", F.col("dst").alias("id")))
+        alone = left.join(both, ["g", "id"], "left_anti").select("g", "id", F.col("id").alias("component"))
+
+        def ahead(at: DataFrame, inside: DataFrame = inside) -> DataFrame:
+            sent = inside.join(at.select("g", F.col("id").alias("src"), "low"), ["g", "src"]).select("g", F.col("dst").alias("id"), "low")
+            return at.unionByName(sent).groupBy("g", "id").agg(F.min("low").alias("low"))
+
+        colours = _settle(both.select("g", "id", F.col("id").alias("low")), ahead)
+        at, to = (colours.select("g", F.col("id").alias(x), F.col("low").alias(f"low_{x}")) for x in ("src", "dst"))
+        same = cut(inside.join(at, ["g", "src"]).join(to, ["g", "dst"]).where("low_src = low_dst").select("g", "src", "dst"))
+
+        def behind(at: DataFrame, same: DataFrame = same) -> DataFrame:
+            sent = same.join(at.select("g", F.col("id").alias("dst"), "component"), ["g", "dst"]).select("g", F.col("src").alias("id"), "component")
+            return at.unionByName(sent).distinct()
+
+        settled = _settle(colours.where(F.col("id") == F.col("low")).select("g", "id", F.col("low").alias("component")), behind)
+        settled = cut(settled.unionByName(alone))
         done = settled if done is None else done.unionByName(settled)
         left = cut(left.join(settled, ["g", "id"], "left_anti"))
         if left.isEmpty():

@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the session's spark.checkpoint.dir (a new local folder only where none is set, on one machine)."""
+    """df, written in one job as a table in the session's spark.checkpoint.dir (a new local folder only where none is set, on one machine) and read back.
+
+    The table goes when the session's JVM ends.
+    """
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
         folder = f"file://{tempfile.mkdtemp(prefix='tracewell-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
