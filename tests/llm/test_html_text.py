@@ -22,6 +22,7 @@ PAGES = {
     "unclosed": f"<body><article><p>{'The first paragraph of a story, with several words in it.'}<p>A second one &amp; more, <i>of it.<br>Line.<p>Ok.",
     "hidden": f"<body><article>{ARTICLE}<p hidden>{LONG}</p><p style='display: none'>{LONG}</p><p aria-hidden=true>{LONG}</p></article></body>",
     "wrapped": f"<body class='has-sidebar'><div><div><article><div class='text'>{ARTICLE}</div></article></div></div></body>",
+    "words": f"<body><div id=leftSidebar2><p>{LONG}</p></div><div class='ad1'>{LONG}</div><div class='usercomments x'><p>{LONG}</p></div><article class='story has-comments uploads'>{ARTICLE}</article></body>",
     "upper": f"<BODY><ARTICLE>{ARTICLE}</ARTICLE><DIV CLASS=\"Footer\">{LONG}</DIV></BODY>",
 }
 

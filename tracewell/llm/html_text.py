@@ -44,9 +44,11 @@ ROLES = frozenset("navigation banner contentinfo complementary search alert aler
 NAMES = frozenset(
     """ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus menubar
     breadcrumb breadcrumbs header masthead topbar footer sidebar sidebars aside comment comments commentlist disqus reply replies respond responses discussion cookie cookies
-    consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup login paywall share sharing
+    consent gdpr feedback topnav sidenav subnav leftnav rightnav mainnav topmenu sidemenu submenu mainmenu notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup login paywall share sharing
     social related recommended recommendations trending widget widgets toolbar pagination pager banner banners form search hidden skip""".split()
 )
+#: Ends of words that name the same in one word.
+ENDS = ("sidebar", "navbar", "footer", "masthead", "breadcrumbs", "comments", "advert", "adverts")
 CONTENT = frozenset("content article post entry story main text body".split())
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -56,7 +58,8 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 def _names(attributes: str) -> tuple[dict[str, str], list[list[str]]]:
     found = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(attributes)}
     names = re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", f"{found.get('class', '')} {found.get('id', '')}").lower().split()
-    return found, [[p for p in _PARTS.split(n) if p] for n in names]
+    parts = ([p.rstrip("0123456789") or p for p in _PARTS.split(n) if p] for n in names)
+    return found, list(parts)
 
 
 def _left_out(tag: str, found: dict[str, str], names: list[list[str]]) -> bool:
@@ -68,7 +71,8 @@ def _left_out(tag: str, found: dict[str, str], names: list[list[str]]) -> bool:
         return True
     if found.get("role", "").lower() in ROLES:
         return True
-    return any(p and p[0] not in ("has", "with", "no", "without", "is") and (p[0] in NAMES or p[-1] in NAMES) for p in names)
+    left = lambda x: x in NAMES or len(x) > 6 and x.endswith(ENDS)
+    return any(p and p[0] not in ("has", "with", "no", "without", "is") and (left(p[0]) or left(p[-1])) for p in names)
 
 
 class Page:
