@@ -61,9 +61,9 @@ def test_fingerprints_and_components(spark):
     assert got == sorted(((d, f, c) for (d, _), f, c in zip(rows, fps, low)), key=str)
 
 
-@pytest.mark.parametrize("count, chunk", [(100, 4096), (10**7, 50), (10**10, 4096)])
-def test_links_keep_components_for_every_number_of_blocks_and_hot_keys(spark, monkeypatch, count, chunk):
-    monkeypatch.setattr(S, "CHUNK", chunk)
+@pytest.mark.parametrize("count, per_chunk", [(100, 8), (10**7, 1), (10**10, 2)])
+def test_links_keep_components_for_every_number_of_blocks_and_hot_keys(spark, monkeypatch, count, per_chunk):
+    monkeypatch.setattr(S, "PER_CHUNK", per_chunk)
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     near = [base[k % 2] ^ sum((np.uint64(1) << np.uint64(b) for b in rng.choice(64, rng.integers(1, 4), replace=False)), np.uint64(0)) for k in range(250)]

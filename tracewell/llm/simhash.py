@@ -31,8 +31,8 @@ from tracewell.llm.components import components
 
 #: Members of a key that are compared by a plain join.
 SMALL = 48
-#: Members of a chunk.
-CHUNK = 4096
+#: A larger key of n members is cut into sqrt(n) / PER_CHUNK chunks: each has PER_CHUNK x sqrt(n) members and is sent to as many tasks as there are chunks.
+PER_CHUNK = 8
 #: Members that share a key by chance, at most.
 CHANCE = 4
 
@@ -144,7 +144,7 @@ def links(keyed: DataFrame, words: list[str], bits: int, scratch: Scratch) -> Da
     sides = [small.select("k", "key", F.col("node").alias(x), *(F.col(w).alias(f"{x}_{w}") for w in words)) for x in ("a", "b")]
     differ = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
     pairs = sides[0].join(sides[1], ["k", "key"]).where((F.col("a") < F.col("b")) & (differ <= bits)).select("a", "b")
-    large = keyed.where(F.col("n") > SMALL).withColumn("chunks", F.ceil(F.col("n") / F.lit(CHUNK)).cast("int"))
+    large = keyed.where(F.col("n") > SMALL).withColumn("chunks", F.ceil(F.sqrt("n") / PER_CHUNK).cast("int"))
     large = large.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     large = large.select("k", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *words)
     forests = large.repartition("k", "key", "i", "j").sortWithinPartitions("k", "key", "i", "j").mapInArrow(_forests(words, bits), "a long, b long")
