@@ -153,4 +153,5 @@ def training_rows(labels: DataFrame) -> DataFrame:
 
 
 def held_out():
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    """Whether crc32 of the doc_id as text leaves no remainder by 5; a null doc_id isn't held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
