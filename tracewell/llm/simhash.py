@@ -162,7 +162,8 @@ def _grouped(docs: DataFrame, nodes: DataFrame, edges: DataFrame, scratch: Scrat
     """docs(doc_id, node, ...) with component_id, from nodes(node, doc) with each node's smallest doc_id."""
     roots = components(edges, scratch)
     rooted = scratch.write(nodes.join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root")), "rooted")
-    first = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
+    # a table of its own, or the join would have to take over the aggregate's partitions, where a large component can't be split
+    first = scratch.write(rooted.groupBy("root").agg(F.min("doc").alias("component_id")), "first")
     return docs.join(rooted.join(first, "root").select("node", "component_id"), "node")
 
 
