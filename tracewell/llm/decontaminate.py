@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,8 +43,8 @@ LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("cosi
 _LEAK = pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.int32()), ("n_words", pa.int32()), ("kind", pa.string())])
 _CLASSES = byte_classes(NOT_ALNUM)
 _SLOTS = 1 << 18
-#: Rows of the sketch that travel together.
-_ROWS = 256
+#: Rows of the sketch that travel together, and groups of tasks whose rows are added up first.
+_ROWS, _SLOTS_A_PART = 256, 64
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +268,8 @@ def _sketch(block: Block):
                 total += block.sketch(sketch, *block.rows(term, row[at]), gaussian)
         if total:
             parts = range(0, len(sketch), _ROWS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([total] * len(parts)), pa.array([sketch[i : i + _ROWS].tobytes() for i in parts], pa.binary())], ["part", "n", "body"])
+            slot = [TaskContext.get().partitionId() % _SLOTS_A_PART] * len(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([total] * len(parts)), pa.array([sketch[i : i + _ROWS].tobytes() for i in parts], pa.binary()), pa.array(slot)], ["part", "n", "body", "slot"])
 
     return run
 
@@ -301,7 +303,9 @@ def fit(documents: DataFrame, items: list[tuple[int, str, str | None]]) -> Block
         weighs[term[np.argsort(n[term], kind="stable")[:RAREST]]] = True
     block.idf = np.where(weighs, np.log((total + 2) / (n + 1)), 0.0)
     parts = -(-len(n) // _ROWS)
-    added = texts.mapInArrow(_sketch(block), "part long, n long, body binary").repartition(min(parts, 64), "part").mapInArrow(_add, "part long, n long, body binary").toArrow()
+    # added up in two steps, so that no task reads a body of every task
+    body = "part long, n long, body binary"
+    added = texts.mapInArrow(_sketch(block), f"{body}, slot long").repartition("part", "slot").mapInArrow(_add, body).repartition(min(parts, 64), "part").mapInArrow(_add, body).toArrow()
     sketch, rows = np.zeros((len(n), min(RANK, len(n))), np.float32), 0
     for part, count, body in zip(*(added[c].to_pylist() for c in ("part", "n", "body"))):
         rows = count
