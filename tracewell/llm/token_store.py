@@ -224,7 +224,7 @@ def _encode(tokenizer: str, end_id: int, block_tokens: int):
         def file() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([pack(docs, np.array(lengths, np.int64), b"".join(ids), width, part, block, before)], pa.binary())], ["body"])
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):  # new words are encoded once a slice
             docs_here = batch.column("doc_id").to_pylist()
             for doc, raw in zip(docs_here, cache.encode(pc.fill_null(batch.column("text"), "").to_pylist())):
                 if docs and n + len(raw) // width >= block_tokens:
