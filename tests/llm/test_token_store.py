@@ -52,6 +52,16 @@ def test_odd_rows(spark, tmp_path):
     assert got == expected(rows, Tokenizer.from_file(PATH))
 
 
+def test_added_tokens_in_both_spellings(spark, tmp_path):
+    texts = ["end <|endoftext|> next", "<|ENDOFTEXT|>Y", "a<|startoftext|>B\n<|StartOfText|>.", "plain words", "<|endoftext", "x<|endoftext|><|ENDOFTEXT|>"]
+    rows = list(enumerate(texts))
+    got = stored(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(2), f"{tmp_path}/s")
+    assert got == expected(rows, Tokenizer.from_file(PATH))
+    cache = T.WordCache.get(PATH, 2)
+    assert np.frombuffer(cache.encode(texts[:1])[0], "<u2").tolist() == [806, 49407, 1131]
+    assert 49407 not in np.frombuffer(cache.encode(texts[1:2])[0], "<u2")
+
+
 def test_real_rows_over_several_files(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = stored(spark, docs.repartition(5), f"{tmp_path}/s", block_tokens=5000)

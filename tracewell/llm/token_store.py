@@ -155,7 +155,8 @@ class WordCache:
     """Ids of whole texts by the tokenizers library, which sees each distinct word (between spaces or line feeds) once.
 
     Exact for a tokenizer that drops white space, lower-cases and splits runs of letters from runs of marks before its merges: no token and no rule
-    spans a space or a line feed, or the start of a run of marks (but apostrophes) after a letter.
+    spans a space or a line feed, or the start of a run of marks (but apostrophes) after a letter. The tokenizer's added tokens, which the library finds in the
+    raw text, are such tokens: a text that holds one, as it is or in lower case, goes to the library whole and unchanged.
     """
 
     _of: dict = {}
@@ -167,6 +168,7 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if width == 2 else "<u4")
         self.words: dict[bytes, bytes] = {}
+        self.added = sorted({t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()} - {b""})
         self.sign = self.sign_id = None
         for i, s in sorted((i, s) for s, i in self.tokenizer.get_vocab().items()):
             text = self.tokenizer.decode([i]).strip()
@@ -197,7 +199,11 @@ class WordCache:
             self.words[w] = np.array(e.ids, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [x.encode("utf-8", "replace").lower().replace(b"\n", b" ").split(b" ") for x in texts]
+        lower = [x.encode("utf-8", "replace").lower() for x in texts]
+        whole = [i for i, raw in enumerate(lower) if any(t in raw for t in self.added)]
+        for i in whole:
+            lower[i] = b""
+        split = [raw.replace(b"\n", b" ").split(b" ") for raw in lower]
         if len(self.words) > CACHE_WORDS:
             self.words = {}
         known = self.words
@@ -208,7 +214,10 @@ class WordCache:
         for w, at in ends.items():
             if at < len(w):
                 known[w] = known[w[:at]] + known[w[at:]]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.kind).tobytes()
+        return out
 
 
 def _encode(tokenizer: str, end_id: int, block_tokens: int):
