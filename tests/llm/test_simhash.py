@@ -104,6 +104,41 @@ def test_similar_copies_link_at_eight_tenths(spark):
     assert got[900] == got[0] and got[904] == 903 and 901 not in got
 
 
+def plain_similar(rows, size=5):
+    """Components by the Jaccard similarity of all pairs."""
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or {tuple(w)}
+
+    items = [(d, shingles(t)) for d, t in rows]
+    return plain_components(items, lambda a, b: len(a & b) / len(a | b) >= 0.8)
+
+
+@pytest.mark.parametrize("small", [48, 2])
+def test_similar_copies_are_decided_by_the_sets(spark, monkeypatch, small):
+    monkeypatch.setattr(S, "SMALL", small)
+    monkeypatch.setattr(S, "PER_CHUNK", 1)
+    rng = random.Random(3)
+    text = lambda n: [f"z{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(150):  # 4 against 5 shingles: 0.8
+        base = text(9)
+        rows += [(10 * k, " ".join(base[:8])), (10 * k + 1, " ".join(base))]
+    for k in range(150, 220):  # 12 against 17 shingles: 0.71; 14 against 18: 0.78
+        base = text(22)
+        rows += [(10 * k, " ".join(base[:16])), (10 * k + 1, " ".join(base[:21])), (10 * k + 2, " ".join(base[4:]))]
+    base = text(60)
+    for k in range(40):  # one group with links of all kinds
+        copy = list(base)
+        for at in rng.sample(range(60), rng.randrange(3)):
+            copy[at] = text(1)[0]
+        rows.append((5000 + k, " ".join(copy)))
+    rows += [(9000, rows[0][1]), (9000, rows[0][1]), (None, rows[2][1]), (None, "only here and without id")]
+    got = sorted(((r.doc_id, r.component_id) for r in S.similar_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()), key=str)
+    assert got == sorted(((d, c) for (d, _), c in zip(rows, plain_similar(rows))), key=str)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_copies(empty).count() == 0 and S.similar_copies(empty).count() == 0

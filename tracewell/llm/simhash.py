@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import WHITE, Scratch, byte_classes, hash_words, mix, shingle_hashes, slices, text_bytes, word_rows
+from tracewell.llm.common import BROADCAST_IDS, WHITE, Scratch, byte_classes, hash_words, mix, shingle_hashes, slices, text_bytes, word_rows
 from tracewell.llm.components import components
 
 #: Members of a key that are compared by a plain join.
@@ -176,57 +176,159 @@ def near_copies(documents: DataFrame, bits: int = 4, shingle: int = 4) -> DataFr
     return _grouped(docs, nodes, links(keyed, ["f0"], bits, scratch), scratch).select("doc_id", F.col("node").alias("fp"), "component_id")
 
 
-#: A wide fingerprint's 64-bit words, and the bands and rows of the MinHash keys that stand in for blocks.
-WORDS, BANDS, ROWS = 4, 16, 4
-#: A fifth of the bits: fingerprints alike in 0.8 or more. At a Jaccard similarity of 0.8 the mean is 39 and the standard deviation 6, at 0.6 they are 59 and 7.
-WIDE_BITS = 51
+#: MinHash keys of a text: bands, and rows of each. A pair of similarity 0.8 shares one with a probability of 0.9998.
+BANDS, ROWS = 16, 4
+#: Two texts are near copies from this Jaccard similarity of their shingles on.
+SIMILARITY = 0.8
 
 
-def wide_signatures(documents: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, the words f0.. of a SimHash of 64 x WORDS bits over distinct word shingles, and one MinHash key a band. Texts without words are left out."""
-    factors = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    factors, again = factors[0][:, None], factors[1, : WORDS - 1]
-    names = [f"f{i}" for i in range(WORDS)]
+def _shingles(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[np.ndarray]]]:
+    """For each slice of rows: the slice, its rows with words, and the ascending distinct shingle hashes of each."""
+    for batch in slices(batches, "text"):
+        data, offsets = text_bytes(batch.column("text"))
+        starts, _, words = hash_words(data, offsets, byte_classes(WHITE))
+        first = word_rows(starts, offsets)
+        some = np.flatnonzero(np.diff(first))
+        yield batch, some, [np.unique(shingle_hashes(words[a:b], min(shingle, b - a))) for a, b in zip(first[some].tolist(), first[some + 1].tolist())]
 
-    def sign(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = np.unique(h)
-        total, least = np.zeros(64 * WORDS, np.int64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+
+def _node(h: np.ndarray) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(h.astype("<u8").tobytes(), 42)
+
+
+def set_signatures(documents: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, node (a hash of the set of word shingles), size of the set, and one MinHash key a band. Texts without words are left out."""
+    factors = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+
+    def keys(h: np.ndarray) -> np.ndarray:
+        least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
         for at in range(0, len(h), 1 << 13):  # bounded memory
-            part = h[at : at + (1 << 13)]
-            wide = np.stack([part, *(mix(part * f) for f in again)], axis=1).astype("<u8")
-            total += np.unpackbits(wide.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            least = np.minimum(least, (part[None, :] * factors).min(axis=1))
+            least = np.minimum(least, (h[at : at + (1 << 13)][None, :] * factors).min(axis=1))
         bands = least.reshape(BANDS, ROWS)
         key = mix(bands[:, 0])
         for i in range(1, ROWS):
             key = mix(key ^ bands[:, i])
-        return np.packbits(total * 2 > len(h), bitorder="little").view("<u8"), key
+        return key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            data, offsets = text_bytes(batch.column("text"))
-            starts, _, words = hash_words(data, offsets, byte_classes(WHITE))
-            first = word_rows(starts, offsets)
-            some = np.flatnonzero(np.diff(first))
-            signed = [sign(shingle_hashes(words[a:b], min(shingle, b - a))) for a, b in zip(first[some].tolist(), first[some + 1].tolist())]
-            fps = np.array([x for x, _ in signed], np.uint64).reshape(-1, WORDS).view(np.int64)
-            keys = np.array([k for _, k in signed], np.uint64).reshape(-1, BANDS).view(np.int64)
-            ids = batch.column("doc_id").take(pa.array(some))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WORDS)), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", *names, "keys"])
+        for batch, some, sets in _shingles(batches, shingle):
+            node = np.array([_node(h) for h in sets], np.uint64).view(np.int64)
+            signed = np.array([keys(h) for h in sets], np.uint64).reshape(-1, BANDS).view(np.int64)
+            cols = [batch.column("doc_id").take(pa.array(some)), pa.array(node), pa.array([len(h) for h in sets], pa.int64()), pa.array(list(signed), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "size", "keys"])
 
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, f"doc_id long, {', '.join(f'{n} long' for n in names)}, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, node long, size long, keys array<long>")
+
+
+def shingle_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
+    """node and its shingle hashes, one row a node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, sets in _shingles(batches, shingle):
+            node = np.array([_node(h) for h in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    found = texts.select(F.col("text").cast("string")).mapInArrow(run, "node long, shingles array<long>")
+    return found.groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+
+
+def _set_forest(nodes: np.ndarray, flat: np.ndarray, first: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links among distinct nodes; node i has the shingles flat[first[i]:first[i + 1]]."""
+    size = np.diff(first)
+    names, flat = np.unique(flat, return_inverse=True)
+    own, left, out = np.zeros(len(names), bool), np.arange(len(nodes)), []
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            i = queue.pop()
+            at = left[np.minimum(size[left], size[i]) / np.maximum(size[left], size[i]) >= similarity]
+            if not len(at):
+                continue
+            own[flat[first[i] : first[i + 1]]] = True
+            begin = np.cumsum(size[at]) - size[at]
+            index = np.repeat(first[at] - begin, size[at]) + np.arange(int(size[at].sum()))
+            shared = np.add.reduceat(own[flat[index]], begin, dtype=np.int64)
+            own[flat[first[i] : first[i + 1]]] = False
+            near = at[shared / (size[at] + size[i] - shared) >= similarity]
+            out += [(nodes[i], nodes[x]) for x in near]
+            queue += near.tolist()
+            left = np.setdiff1d(left, near, assume_unique=True)
+    return out
+
 
+def _set_forests(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by k, key, i, j."""
+        held, last = [], None
 
-def similar_copies(documents: DataFrame, shingle: int = 5, bits: int = WIDE_BITS) -> DataFrame:
-    """doc_id and component_id: groups of documents linked by a Jaccard similarity of about 0.8 or more of their word shingles.
+        def flush() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            nodes, at = np.unique(rows["node"].to_numpy(), return_index=True)
+            sets = rows["shingles"].combine_chunks().take(pa.array(at))
+            first = np.concatenate([[0], np.cumsum(pc.list_value_length(sets).to_numpy())])
+            a, b = np.array(_set_forest(nodes, sets.flatten().to_numpy(), first, similarity), np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    At that similarity fingerprints differ in 15 of 100 bits, so that no block long enough to be rare is shared for sure. Here equal MinHash bands stand in for blocks (a pair of
-    similarity 0.8 shares one with a probability of 0.9998), and 256-bit SimHash fingerprints verify: a link is `bits` or fewer differing bits. Texts without words are no copies of anything.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy() for c in ("k", "key", "i", "j")]
+            cuts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1).tolist(), batch.num_rows]
+            rows = batch.select(["node", "shingles"])
+            for a, b in zip(cuts, cuts[1:]):
+                if (group := tuple(c[a] for c in cols)) != last and held:
+                    yield flush()
+                    held = []
+                last = group
+                held.append(rows.slice(a, b - a))
+        if held:
+            yield flush()
+
+    return run
+
+
+def set_links(nodes: DataFrame, sets_of, similarity: float, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) between nodes that share a key and whose sets have a Jaccard similarity of `similarity` or more, by the sets themselves.
+
+    nodes: node, size and keys, one row a node; sets_of gives node and shingles of a table of nodes. As with links(), a key of over SMALL nodes gives a forest.
+    """
+    keyed = nodes.select("node", "size", F.posexplode("keys").alias("k", "key"))
+    counts = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    keyed = scratch.write(keyed.join(counts, ["k", "key"]), "keyed")
+    small = keyed.where(F.col("n") <= SMALL)
+    sides = [small.select("k", "key", F.col("node").alias(x), F.col("size").alias(f"{x}_size")) for x in ("a", "b")]
+    fits = F.least("a_size", "b_size") / F.greatest("a_size", "b_size") >= similarity  # or the similarity is less
+    pairs = scratch.write(sides[0].join(sides[1], ["k", "key"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct(), "pairs")
+    large = keyed.where(F.col("n") > SMALL).withColumn("chunks", F.ceil(F.sqrt("n") / PER_CHUNK).cast("int"))
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
+    sets = scratch.write(sets_of(needed), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    pairs = both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b")
+    large = large.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    large = large.select("k", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(sets, "node")
+    forests = large.repartition("k", "key", "i", "j").sortWithinPartitions("k", "key", "i", "j").mapInArrow(_set_forests(similarity), "a long, b long")
+    return pairs.unionByName(forests).distinct()
+
+
+def similar_copies(documents: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and component_id: groups of documents linked by a Jaccard similarity of `similarity` or more of their word shingles.
+
+    At 0.8 fingerprints differ in 15 of 100 bits, so that no block long enough to be rare is shared for sure, and no number of bits parts 0.8 from less. Here equal MinHash bands stand
+    in for blocks, and the sets of shingles themselves decide; they are made again from the texts of the nodes that share a key. Texts without words are no copies of anything.
     """
     scratch = Scratch(documents.sparkSession, "simhash")
-    words = [f"f{i}" for i in range(WORDS)]
-    signed = scratch.write(wide_signatures(documents, shingle).withColumn("node", F.xxhash64(*words)), "signatures")
-    nodes = scratch.write(signed.groupBy("node").agg(F.min("doc_id").alias("doc"), *(F.min(w).alias(w) for w in words), F.min("keys").alias("keys")), "distinct")
-    keyed = nodes.select("node", *words, F.posexplode("keys").alias("k", "key"))
-    return _grouped(signed.select("doc_id", "node"), nodes.select("node", "doc"), links(keyed, words, bits, scratch), scratch).select("doc_id", "component_id")
+    signed = scratch.write(set_signatures(documents, shingle), "signatures")
+    nodes = scratch.write(signed.groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("size").alias("size"), F.min("keys").alias("keys")), "distinct")
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+    def sets_of(needed: DataFrame) -> DataFrame:
+        ids = scratch.write(nodes.join(needed, "node", "left_semi").where("doc is not null").select(F.col("doc").alias("doc_id")).distinct(), "ids")
+        named = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+        return shingle_sets(named.unionByName(rows.where("doc_id is null")), shingle)
+
+    edges = set_links(nodes.select("node", "size", "keys"), sets_of, similarity, scratch)
+    return _grouped(signed.select("doc_id", "node"), nodes.select("node", "doc"), edges, scratch).select("doc_id", "component_id")
