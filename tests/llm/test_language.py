@@ -65,6 +65,18 @@ def test_accuracy_and_unknown_texts(spark):
     assert got[1] == got[2] == "und"
 
 
+def test_every_declared_language_is_learnt(spark):
+    russian = "Съешь ещё этих мягких французских булок да выпей чаю"
+    rows = [(k, f"these are plain words of text number {k}", "en") for k in range(3000)] + [(5000, russian, "RU "), (5001, russian, "ru"), (None, "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία", "el")]
+    rows += [(6000 + k, f"word{k} of a rare tongue", f"r{k:03}") for k in range(260)] + [(7000, "x", "und"), (7001, "y", " "), (7002, "z", None)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string, source string").repartition(3)
+    model = L.fit(docs.where("lang not like 'r0%' and lang not like 'r1%' and lang not like 'r2%' or lang is null"), "doc_id", "text", "lang", sample_rows=50)
+    assert model.languages == ["el", "en", "ru", "und"]
+    found = L.fuse(L.text_evidence(docs.where("lang in ('RU ', 'ru', 'el')"), model, "doc_id", "text", "lang", "source"), model.languages, Scratch(spark, "t")).collect()
+    assert sorted((r.language, r.text_language) for r in found) == [("el", "el"), ("ru", "ru"), ("ru", "ru")]
+    assert len(L.fit(docs, "doc_id", "text", "lang", sample_rows=50).languages) == 264
+
+
 def test_other_evidence_decides_for_empty_text(spark):
     model = L.TextModel(["aa", "bb"], np.ones((2, 1 << L.BITS)))
     rows = [(i, [0.0, -30.0, -30.0] if i % 2 else [-30.0, 0.0, -30.0], "aa" if i % 2 else "bb", "one.d.x" if i % 2 else "two.d.x", "d.x", "x") for i in range(60)]

@@ -2,8 +2,8 @@
 
 log P(language | row) = log prior(host) + TEMPER * log P(text | language) + log P(declared | language) + log P(suffix | language) + constant
 
-Text: runs of three bytes of lower-cased letters (words padded with one blank), hashed to 2^BITS, with add-one smoothed frequencies for each language, learnt from at most SAMPLE_ROWS
-rows whose language is given. A class UNKNOWN, with all runs alike, stands for anything that no learnt language explains. TEMPER makes up for runs not being independent.
+Text: runs of three bytes of lower-cased letters (words padded with one blank), hashed to 2^BITS, with add-one smoothed frequencies for each language, learnt from about SAMPLE_ROWS
+rows at most of each language that is given, however rare it is. A class UNKNOWN, with all runs alike, stands for anything that no learnt language explains. TEMPER makes up for runs not being independent.
 
 Priors: the text's posteriors alone are summed by grouped aggregation for each host, its domain and all rows. A domain's shares are smoothed towards those of all rows by STRENGTH
 pseudo-rows, and a host's towards its domain's; a row's own part is taken out first. P(declared | language) and P(suffix | language) are smoothed shares of the same sums.
@@ -29,8 +29,8 @@ from tracewell.llm.common import Scratch, mix, slices, text_bytes
 from tracewell.llm.html_text import main_text
 
 BITS = 16
-#: Rows that the text model learns from, at most (those with the smallest hashes of their ids), and languages (the most frequent).
-SAMPLE_ROWS, MAX_LANGUAGES = 8_000, 250
+#: Rows of each language that the text model learns from, about (those with the smallest hashes of their ids), where there are more.
+SAMPLE_ROWS = 8_000
 TEMPER = 0.2
 STRENGTH = 20.0
 UNKNOWN = "und"
@@ -75,24 +75,30 @@ class TextModel:
 
 
 def fit(rows: DataFrame, key: str, text: str, language: str, sample_rows: int = SAMPLE_ROWS) -> TextModel:
-    """Learn from rows with a language. The driver gets MAX_LANGUAGES x 2^BITS counts from each of a few tasks, at most."""
+    """Learn from rows with a language: of each language all rows, or about sample_rows of them where there are more, those with the smallest hashes; at least one row.
+
+    The driver gets a row a language, and at most 2^BITS counts of each.
+    """
     known = rows.where(F.length(F.trim(language)) > 0).select(F.col(key).alias("key"), F.lower(F.trim(language)).alias("language"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    chosen = known.select("key", "language").orderBy(F.xxhash64("key"), "key", "language").limit(sample_rows)
-    names = [r["language"] for r in chosen.groupBy("language").count().orderBy(F.desc("count"), "language").limit(MAX_LANGUAGES).collect() if r["language"] != UNKNOWN]
-    names.sort()
+    known = known.where(F.col("language") != UNKNOWN).withColumn("hash", F.xxhash64("key"))
+    found = known.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.min("hash").alias("least")).collect()
+    upto = {r["language"]: max(r["least"], min((sample_rows << 64) // r["n"], (1 << 64) - 1) - (1 << 63)) for r in found}
+    names = sorted(upto)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(names), 1 << BITS), np.int64)
+        counts: dict[int, np.ndarray] = {}
         at = {x: i for i, x in enumerate(names)}
         for batch in slices(batches, "text"):
-            of = np.array([at.get(x, -1) for x in batch.column("language").to_pylist()])
+            of = np.array([at[x] for x in batch.column("language").to_pylist()])
             row, run = runs(batch.column("text"))
-            for i in range(len(names)):
-                counts[i] += np.bincount(run[of[row] == i], minlength=1 << BITS)
-        language, run = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(language), pa.array(run), pa.array(counts[language, run])], ["language", "run", "n"])
-
-    sample = known.join(F.broadcast(chosen.select("key").distinct()), "key").select("language", "text")
+            for i in np.unique(of).tolist():
+                counts[i] = counts.get(i, 0) + np.bincount(run[of[row] == i], minlength=1 << BITS)
+        for i, n in counts.items():
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i)), pa.array(some), pa.array(n[some])], ["language", "run", "n"])
+
+    bounds = rows.sparkSession.createDataFrame(list(upto.items()), "language string, upto long")
+    sample = known.join(F.broadcast(bounds), "language").where(F.col("hash") <= F.col("upto")).select("language", "text")
     found = sample.mapInArrow(count, "language long, run long, n long").groupBy("language", "run").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((len(names), 1 << BITS))
     counts[found["language"].to_numpy(), found["run"].to_numpy()] = found["n"].to_numpy()
