@@ -93,6 +93,14 @@ def test_addresses_and_declarations():
     assert L.declared('<!doctype html><HTML class=x LANG="de-AT">') == "de" and L.declared(None) == L.declared("<p lang=de>") == ""
 
 
+def test_a_declaration_behind_a_long_start_is_found():
+    long = "x" * 10_000
+    page = "<html lang='fr'><body>"
+    assert L.declared(f"<!-- {long} -->{page}") == L.declared(" " * 9000 + page) == L.declared(f"<script>{long}</script>{page}") == "fr"
+    assert L.declared(f"<!-- <html lang=de> -->{page}") == L.declared(f"<SCRIPT>'<html lang=de>'</script >{page}") == "fr"
+    assert L.declared("<!-- <html lang=de>") == L.declared("<style><html lang=de>") == ""
+
+
 def test_no_training_rows_and_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     model = L.fit(empty, "doc_id", "text", "lang")

@@ -39,7 +39,8 @@ _LETTER = np.full(256, 32, np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[65:91] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
-_DECLARED = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})\b""", re.I)
+#: A comment, a script or style, or an html element's start that declares a language.
+_DECLARED = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})\b""", re.I | re.S)
 
 
 def runs(texts: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -116,9 +117,8 @@ def address(url: str | None) -> tuple[str, str, str]:
 
 
 def declared(source: str | None) -> str:
-    """The language that the html element declares."""
-    m = _DECLARED.search(source or "", 0, 4096)
-    return m[1].lower() if m else ""
+    """The language that the html element declares, wherever it stands but in a comment, script or style."""
+    return next((m[2].lower() for m in _DECLARED.finditer(source or "") if m[2]), "")
 
 
 def page_evidence(pages: DataFrame, model: TextModel, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
