@@ -87,6 +87,23 @@ def test_a_passage_that_most_documents_copy_is_found(spark):
     assert got == {2000 + k for k in range(300)}
 
 
+def test_common_passages_are_found_among_words_of_other_items(spark):
+    rng = random.Random(4)
+    words = [f"{a}{b}{c}{d}" for a in "bcdfghjklm" for b in ("ar", "el", "ion", "ter", "und", "osh", "ick", "emp") for c in "nprstvwxyz" for d in ("", "a", "e", "o", "u")]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(0, text(15)), (1, text(20)), *((k, text(48)) for k in range(2, 250))]
+    docs = [(k, text(48)) for k in range(180)]
+    for k in range(400):  # each in a third of all runs
+        n = 48 - len(items[k % 2][1].split())
+        docs.append((1000 + k, f"{text(k % n)} {items[k % 2][1]} {text(n - k % n)}"))
+    planted = {(1000 + k, k % 2) for k in range(400)}
+    edited = " ".join(w if i % 7 != 3 else f"{w} new" for i, w in enumerate(items[1][1].split()))
+    docs += [(3000 + k, f"{text(k)} {edited} {text(20)}") for k in range(16)]
+    planted |= {(3000 + k, 1) for k in range(16)}
+    df, bench = frames(spark, items, docs)
+    assert {(r.doc_id, r.item_id) for r in D.leaked_items(df, bench).collect()} == planted
+
+
 def test_subsequence_equals_the_plain_program():
     rng = random.Random(1)
     for _ in range(200):

@@ -8,6 +8,8 @@ For a block:
 2. Randomised SVD (Halko et al., 2011) of the TF-IDF rows of all those runs and of the block's passages, which are weighted so that both parts have equal energy: tasks add up
    A'(A G) for a Gaussian matrix G of RANK columns, and the driver orthonormalises the sum. The columns span the latent space.
 3. Windows of WINDOW words, a new one every STEP words, so that each passage lies whole in one, are projected into it; a passage with a cosine of COSINE or more is a candidate.
+   The RAREST terms of a common passage (one of them is in over MAX_DF of the runs) weigh too little beside rarer words of a window. Common passages are candidates without a
+   weight: where a window of WINDOW + STEP words, which any stretch of step 4 lies whole in, has as many of the passage's terms as PARAPHRASE of its words can't do without.
 4. A candidate is a leak if the longest common subsequence of the passage and a stretch of the text of at most 1.25 times its length (and two words) has COPY of the passage's words,
    or PARAPHRASE of them while the text around has the answer word for word. The answer is the item's own, where a column gives it, else the passage's last quarter (three words or more).
 
@@ -20,6 +22,7 @@ come out; items with equal texts are all found; an empty table or an empty bench
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from tracewell.llm.common import NOT_ALNUM, byte_classes, hash_words, slices, sp
 #: Items of a block.
 ITEMS = 256
 PASSAGE, WINDOW, STEP, FEWEST = 48, 64, 16, 5
-#: Terms in a larger share of the runs weigh nothing, but for each passage's RAREST ones: a passage that a third of all documents copy is found too.
+#: Terms in a larger share of the runs weigh nothing, but for each passage's RAREST ones.
 MAX_DF, RAREST = 0.02, 8
 RANK = ITEMS + 32
 COSINE = 0.3
@@ -101,6 +104,16 @@ class Block:
                     self.passages.append(part)
                     self.answers.append(own)
         self.terms = Terms(np.concatenate(self.passages)) if self.passages else None
+        self.set_common([])
+
+    def set_common(self, passages: list[int]) -> None:
+        """Of common passages: their numbers, the terms of each, and how many of them a leak has at least."""
+        self.common = np.array(passages, np.int64)
+        own = [np.unique(self.terms.find(self.passages[p])[1]) for p in passages]
+        self.has = np.zeros((len(self.terms.hashes) if self.terms else 0, len(own)), np.int8)
+        for i, x in enumerate(own):
+            self.has[x, i] = 1
+        self.needs = np.array([max(1, len(x) - len(self.passages[p]) + int(np.ceil(PARAPHRASE * len(self.passages[p])))) for p, x in zip(passages, own)], np.int8)
 
     def rows(self, term: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of occurrences of terms, by row, those that weigh; and the length of each row's TF-IDF vector."""
@@ -184,6 +197,42 @@ class Block:
                 t = text_of[part[w]]
                 yield int(first[t] + (part[w] - base[t]) * STEP), int(p), float(cosine[w, p])
 
+    def common_candidates(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, None]]:
+        """(number of a window's first word, common passage, None) where the window has the terms that a leak needs."""
+        steps, wide, n_terms = -(-np.diff(first) // STEP), WINDOW // STEP + 1, len(self.has)
+        base = np.concatenate([[0], np.cumsum(steps)])
+        if not base[-1] or not len(self.common):
+            return
+        at, term = self.terms.find(words)
+        some = self.has.any(axis=1)[term]
+        at, term = at[some], term[some]
+        text = np.searchsorted(first, at, side="right") - 1
+        step, term = np.divmod(np.unique((base[text] + (at - first[text]) // STEP) * n_terms + term), n_terms)
+        text_of = np.repeat(np.arange(len(steps)), steps)
+        window = (step[:, None] - np.arange(wide)).ravel()
+        term, source = np.repeat(term, wide), np.repeat(step, wide)
+        inside = (window >= 0) & (text_of[np.maximum(window, 0)] == text_of[source])
+        window, term = np.divmod(np.unique(window[inside] * n_terms + term[inside]), n_terms)
+        starts = np.flatnonzero(np.diff(window, prepend=-1))
+        ends = np.append(starts[1:], len(window))
+        enough = ends - starts >= self.needs.min()
+        starts, ends = starts[enough], ends[enough]
+        for i in range(0, len(starts), 1024):
+            a, b = starts[i : i + 1024], ends[i : i + 1024]
+            begin = np.cumsum(b - a) - (b - a)
+            index = np.repeat(a - begin, b - a) + np.arange(int((b - a).sum()))
+            for w, p in zip(*np.nonzero(segment_sums(self.has, term[index], begin) >= self.needs)):
+                x = window[a[w]]
+                t = text_of[x]
+                yield int(first[t] + (x - base[t]) * STEP), int(self.common[p]), None
+
+    def cosine(self, words: np.ndarray, passage: int) -> float:
+        """Of a window's words and a passage, in the latent space."""
+        term = self.terms.find(words)[1]
+        some, count = np.unique(term[self.idf[term] > 0], return_counts=True)
+        size = np.sqrt(((count * self.idf[some]) ** 2).sum())
+        return float((count @ self.basis[some]) @ self.latent[:, passage] / size) if len(some) else 0.0
+
     def leak(self, words: np.ndarray, a: int, b: int, passage: int) -> tuple[int, str] | None:
         """Longest common subsequence and kind, for a stretch in words[a:b]."""
         own, n = self.passages[passage], len(self.passages[passage])
@@ -218,12 +267,17 @@ class Block:
         """Of each text, the best leak of each item."""
         words, first = words_of(texts)
         out: list[dict] = [{} for _ in range(len(texts))]
-        seen: dict[tuple[int, int], int] = {}
-        for at, passage, cosine in self.candidates(words, first):
+        seen: set[tuple[int, int]] = set()
+        for at, passage, cosine in chain(self.candidates(words, first), self.common_candidates(words, first)):
+            if (at, passage) in seen:
+                continue
+            seen.add((at, passage))
             text = int(np.searchsorted(first, at, side="right")) - 1
             n = len(self.passages[passage])
             found = self.leak(words, max(int(first[text]), at - n), min(int(first[text + 1]), at + WINDOW + n), passage)
             if found:
+                if cosine is None:
+                    cosine = self.cosine(words[at : min(int(first[text + 1]), at + WINDOW)], passage)
                 item = self.items[passage]
                 new = {"item_id": item, "cosine": round(cosine, 4), "lcs": found[0], "n_words": n, "kind": found[1]}
                 old = out[text].get(item)
@@ -298,9 +352,14 @@ def fit(documents: DataFrame, items: list[tuple[int, str, str | None]]) -> Block
     n = np.zeros(len(block.terms.hashes))
     n[list(df)] = list(df.values())
     weighs = n <= MAX_DF * total
-    for _, term in map(block.terms.find, block.passages):
+    common = []
+    for i, (_, term) in enumerate(map(block.terms.find, block.passages)):
         term = np.unique(term)
-        weighs[term[np.argsort(n[term], kind="stable")[:RAREST]]] = True
+        rarest = term[np.argsort(n[term], kind="stable")[:RAREST]]
+        weighs[rarest] = True
+        if n[rarest[-1]] > MAX_DF * total:
+            common.append(i)
+    block.set_common(common)
     block.idf = np.where(weighs, np.log((total + 2) / (n + 1)), 0.0)
     parts = -(-len(n) // _ROWS)
     # added up in two steps, so that no task reads a body of every task
