@@ -13,18 +13,17 @@ n ones and at most 2n zeros, so 2 + log2(u/n) bits a number. Every SAMPLE-th one
 counting bits of bytes; no 64-bit table of offsets is there. After the total length there may be one line feed, which the writer of lines adds.
 
 Spark's own line writer carries the bytes, one file a block, so any file system that Spark writes to will do, commits are atomic, and a lost
-executor's task is repeated. Cases: null text is an empty document (it has the end id only); null doc_ids come first; equal doc_ids keep the
-order of their texts; an empty table gives a store without files and no rows; columns beside doc_id and text are not read.
+executor's task is repeated. Cases: null text is an empty document (it has the end id only); null doc_ids come first; equal doc_ids are ordered by the XXH64 of their texts, then by
+these; very long texts are encoded whole, a slice each; an empty table gives a store without files and no rows; columns beside doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +32,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import slices
+from tracewell.llm.common import Scratch, slices, text_bytes
 
 MAGIC = b"TWTOKEF1"
 HEADER = struct.Struct(">8s13q")
 SAMPLE = 128
 #: Ids after which a file ends.
 BLOCK_TOKENS = 4 << 20
-#: Distinct words a worker remembers the ids of; beyond that it starts again.
-CACHE_WORDS = 500_000
-#: Marks at the end of a word, after a letter: no token spans their start.
-_TAIL = re.compile(rb"(?<=[a-z])[!-&(-/:-@\[-`{-~]+$")
+#: Distinct words after which a worker puts its memory aside; it holds twice as many at most, and those of a slice.
+CACHE_WORDS = 150_000
+#: Bytes of text whose words are worked on at once.
+SLICE = 4 << 20
+#: The digit between new words, and their number in a call of the library.
+SIGN, JOINED = "7", 256
+_ASCII = np.arange(256)
+_LETTER = (_ASCII >= 97) & (_ASCII < 123)
+#: Marks that may close a word, after a letter: no token spans their start. An apostrophe may begin a token with what follows.
+_MARK = (_ASCII > 32) & (_ASCII < 127) & ~_LETTER & ~((_ASCII >= 48) & (_ASCII < 58)) & ~((_ASCII >= 65) & (_ASCII < 91)) & (_ASCII != 39)
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -151,12 +156,21 @@ class TokenFile:
         return self.ids[self.ends[i] : self.ends[i + 1]]
 
 
+#: The normaliser and the splitting rule under which WordCache may part a text. Under any other, whole texts go to the library.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
 class WordCache:
-    """Ids of whole texts by the tokenizers library, which sees each distinct word (between spaces or line feeds) once.
+    """Ids of whole texts by the tokenizers library, which sees each distinct word (between spaces or line feeds) once while a worker remembers it.
+
+    Exact for a tokenizer of the form above (`parts`): it drops white space, lower-cases and splits runs of letters from runs of marks and single digits before its merges,
+    so that no token and no rule spans a space, a line feed, a digit, or the start of a run of marks (but apostrophes) after a letter. The tokenizer's added tokens, which
+    the library finds in the raw text, are such tokens: a text that holds one, as it is or in lower case, goes to the library whole and unchanged. So does every text if the
+    tokenizer has another form.
 
-    Exact for a tokenizer that drops white space, lower-cases and splits runs of letters from runs of marks before its merges: no token and no rule
-    spans a space or a line feed, or the start of a run of marks (but apostrophes) after a letter. The tokenizer's added tokens, which the library finds in the
-    raw text, are such tokens: a text that holds one, as it is or in lower case, goes to the library whole and unchanged.
+    New words go to the library many at a time, joined by a digit that they don't have; its id ends each.
     """
 
     _of: dict = {}
@@ -166,15 +180,14 @@ class WordCache:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        self.parts = form["normalizer"] == _NORMALIZER and form["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]} and not form["model"].get("dropout")
         self.kind = np.dtype("<u2" if width == 2 else "<u4")
-        self.words: dict[bytes, bytes] = {}
-        self.added = sorted({t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()} - {b""})
-        self.sign = self.sign_id = None
-        for i, s in sorted((i, s) for s, i in self.tokenizer.get_vocab().items()):
-            text = self.tokenizer.decode([i]).strip()
-            if len(text) == 1 and not text.isascii() and text == text.lower() and self.tokenizer.encode(text, add_special_tokens=False).ids == [i]:
-                self.sign, self.sign_id = text, i  # a word of its own between others, to find their ends
-                break
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()} - {""})
+        self.sign = self._plain(SIGN)
 
     @classmethod
     def get(cls, path: str, width: int) -> WordCache:
@@ -182,43 +195,78 @@ class WordCache:
             cls._of[path, width] = cls(path, width)
         return cls._of[path, width]
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain, odd = [], []
-        sign = self.sign.encode() if self.sign else b""
-        for w in words:
-            (odd if not sign or sign in w or not w.strip() else plain).append(w)
-        if plain:
-            text = f" {self.sign} ".join(w.decode() for w in plain)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-            parts = np.split(ids, np.flatnonzero(ids == self.sign_id))
-            if len(parts) == len(plain):
-                self.words.update((w, p[min(1, k) :].tobytes()) for k, (w, p) in enumerate(zip(plain, parts)))
-            else:  # a word gave the sign's id itself
-                odd += plain
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode() for w in odd], add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, self.kind).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        lower = [x.encode("utf-8", "replace").lower() for x in texts]
-        whole = [i for i, raw in enumerate(lower) if any(t in raw for t in self.added)]
-        for i in whole:
-            lower[i] = b""
-        split = [raw.replace(b"\n", b" ").split(b" ") for raw in lower]
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        known, one = self.words, self.kind.itemsize
+        joined = [w for w in words if SIGN not in w] if len(self.sign) == one else []
+        for at in range(0, len(joined), JOINED):
+            part = joined[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([SIGN.join(part)], add_special_tokens=False)[0].ids, self.kind)
+            raw, begin = ids.tobytes(), 0
+            ends = np.flatnonzero(ids == np.frombuffer(self.sign, self.kind)[0]) * one
+            for w, end in zip(part, [*ends.tolist(), len(raw)], strict=True):
+                known[w] = raw[begin:end]
+                begin = end + one
+        odd = [w for w in words if w not in known]
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+            known[w] = np.array(e.ids, self.kind).tobytes()
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Of distinct words. Words that weren't met since the last but one time that the memory was full are forgotten."""
         if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        known = self.words
-        ends = {w: _TAIL.search(w) for w in set(chain.from_iterable(split)).difference(known)}
-        ends = {w: m.start() if m else len(w) for w, m in ends.items()}
-        if missing := list({x for w, at in ends.items() for x in (w[:at], w[at:]) if x not in known}):
-            self._learn(missing)
-        for w, at in ends.items():
-            if at < len(w):
-                known[w] = known[w[:at]] + known[w[at:]]
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for i in whole:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.kind).tobytes()
+            self.words, self.older = {}, self.words
+        known, older = self.words, self.older
+        missing = [w for w in words if w not in known]
+        if missing:
+            again = [w for w in missing if w in older]
+            known.update(zip(again, map(older.__getitem__, again)))
+            self._learn([w for w in missing if w not in known] if again else missing)
+        return list(map(known.__getitem__, words))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text as little-endian numbers; null is empty."""
+        texts = pc.fill_null(texts, "")
+        lower = pc.ascii_lower(texts).cast(pa.large_string())  # in this order: a cast slice doesn't start at its buffer's first byte
+        whole = np.zeros(len(texts), bool) if self.parts else np.ones(len(texts), bool)
+        for token in self.added if self.parts else ():
+            whole |= pc.match_substring(lower, token).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(whole)
+        if len(rows):
+            lower = pc.if_else(pa.array(whole), "", lower)
+        split = pc.split_pattern(pc.replace_substring(lower, "\n", " "), " ")
+        words = split.flatten().dictionary_encode()
+        ids = _take(self._distinct(words.dictionary), words.indices)
+        ends = ids.buffers()[1]
+        data, ends = memoryview(ids.buffers()[2] or b""), np.frombuffer(ends, np.int64)[ids.offset :]
+        first = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        out = [bytes(data[a:b]) for a, b in zip(first, first[1:])]
+        for i in rows.tolist():
+            out[i] = self._plain(texts[i].as_py())
         return out
 
+    def _distinct(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words, as binary: those of a word up to its closing marks, if a letter stands before them, and those of the marks."""
+        data, offsets = text_bytes(words)
+        at = np.arange(len(data))
+        body = np.maximum.accumulate(np.where(_MARK[data], -1, at)) if len(data) else at
+        start, end = offsets[:-1], offsets[1:]
+        last = body[np.maximum(end - 1, 0)] if len(data) else end
+        letter = (end > start) & (last >= start)
+        letter[letter] = _LETTER[data[last[letter]]]
+        cut = np.where(letter, last + 1, end)
+        pieces = pa.LargeStringArray.from_buffers(2 * len(words), pa.py_buffer(np.append(np.stack([start, cut], axis=1).ravel(), offsets[-1]).astype(np.int64)), pa.py_buffer(data.tobytes()))
+        pieces = pieces.dictionary_encode()
+        ids = _take(pa.array(self._ids(pieces.dictionary.to_pylist()), pa.large_binary()), pieces.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(ends[::2].copy()), ids.buffers()[2] or pa.py_buffer(b"")])
+
+
+def _take(values: pa.Array, indices: pa.Array) -> pa.Array:
+    """values[indices], bytes side by side from the start of a buffer."""
+    return values.take(indices) if len(indices) else pa.LargeBinaryArray.from_buffers(pa.large_binary(), 0, [None, pa.py_buffer(np.zeros(1, np.int64)), pa.py_buffer(b"")])
+
 
 def _encode(tokenizer: str, end_id: int, block_tokens: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,9 +281,8 @@ def _encode(tokenizer: str, end_id: int, block_tokens: int):
         def file() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([pack(docs, np.array(lengths, np.int64), b"".join(ids), width, part, block, before)], pa.binary())], ["body"])
 
-        for batch in slices(batches, "text", 2 << 20):  # new words are encoded once a slice
-            docs_here = batch.column("doc_id").to_pylist()
-            for doc, raw in zip(docs_here, cache.encode(pc.fill_null(batch.column("text"), "").to_pylist())):
+        for batch in slices(batches, "text", SLICE):
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), cache.encode(batch.column("text"))):
                 if docs and n + len(raw) // width >= block_tokens:
                     yield file()
                     before, block, n = before + n, block + 1, 0
@@ -252,8 +299,8 @@ def _encode(tokenizer: str, end_id: int, block_tokens: int):
 
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1, block_tokens: int = BLOCK_TOKENS) -> None:
     """Write a store of all documents. The order is by range partitions, so each file is made by one task from the rows of one range."""
-    docs = documents.select("doc_id", "text")
-    ordered = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    ordered = docs.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
     files = ordered.mapInArrow(_encode(tokenizer, end_id, block_tokens), "body binary")
     files.select(F.col("body").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 
@@ -262,9 +309,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for raw in batch.column("content"):
             f = TokenFile(raw.as_buffer())
-            ends = f.ends.all().astype(np.int64)
+            ends = [f.ends[i] for i in range(f.n_docs + 1)] if f.n_docs else [0]  # by select
             wide = memoryview(f.ids.astype("<u4")).cast("B")
-            crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(ends, ends[1:])]
+            ends = np.array(ends, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(f.doc_ids(), pa.int64()), pa.array(np.full(f.n_docs, f.part)), pa.array(ends[:-1] + f.before), pa.array(np.diff(ends)), pa.array(crc, pa.int64())],
                 ["doc_id", "part", "start", "n_tokens", "ids_crc32"],
@@ -274,15 +322,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens, ids_crc32 of each document, from a store's files.
 
-    The driver gets one sum for each writing task, from the headers.
+    Each file is read once; its rows go to a table in the shared folder, from which the driver gets one sum for each writing task.
     """
-    files = spark.read.format("binaryFile").load(path).where("length > 8")
-    number = lambda at: F.conv(F.hex(F.expr(f"substring(content, {at + 1}, 8)")), 16, 10).cast("long")
-    heads = files.select(number(16).alias("part"), (number(32) + number(48)).alias("upto")).groupBy("part").agg(F.max("upto").alias("n"))
+    files = spark.read.format("binaryFile").load(path).where("length > 8").select("content")
+    rows = Scratch(spark, "tokens").write(files.mapInArrow(_read, "doc_id long, part long, start long, n_tokens long, ids_crc32 long"), "rows")
     bases, at = [], 0
-    for part, n in sorted(map(tuple, heads.collect())):
+    for part, n in sorted(map(tuple, rows.groupBy("part").agg(F.max(F.col("start") + F.col("n_tokens"))).collect())):
         bases.append((part, at))
         at += n
-    rows = files.select("content").mapInArrow(_read, "doc_id long, part long, start long, n_tokens long, ids_crc32 long")
     bases = spark.createDataFrame(bases, "part long, base long")
-    return rows.join(bases, "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
