@@ -14,19 +14,33 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once; a single longer text makes a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Bytes of a batch that goes to Python, at most (or one row).
+BATCH_BYTES = 4 << 20
 _PRIME = 0x9E3779B97F4A7C15
 _CHUNK = 1 << 18
 _U = np.uint64
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of at most BATCH_BYTES between Spark and Python, which hold them on both sides; a setting of less stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not (now or "").isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where none is set (tests, one machine), a new local folder."""
+    """spark.checkpoint.dir of the session; where none is set and all is one machine (tests), a new local folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tracewell-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -39,6 +53,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self._n = 0

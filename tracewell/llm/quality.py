@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors (Wang and Manning, 2012).
 
-Features are n-gram indicators (ngram.indicators), hashed to 2^BITS. The model is fitted on a sample of at most SAMPLE_ROWS labelled rows, those with the
-smallest hashes of doc_id. The features' class log-count ratios are r = log((p/|p|)/(q/|q|)), with p and q one plus the number of texts of a class that have
+Features are n-gram indicators (ngram.indicators), hashed to 2^BITS. The model is fitted on a sample of at most SAMPLE_ROWS labelled rows with SAMPLE_FEATURES features
+together, those with the smallest hashes of doc_id, in one executor task: the driver gets only the weights. The features' class log-count ratios are r = log((p/|p|)/(q/|q|)), with p and q one plus the number of texts of a class that have
 the feature. A text is the vector of the r of its features, scaled to length one; on it a linear hinge-loss model is fitted by dual coordinate
 descent (Hsieh et al., 2008), with both classes weighted alike. A logistic curve turns margins into scores; it is fitted to margins of rows by
 models of the other half of the sample.
@@ -9,7 +9,8 @@ models of the other half of the sample.
 Labels, lang, source and doc_id are never inputs of a score.
 
 Cases: null text is empty (its score comes from the empty n-gram alone); labels that are null or neither 0 nor 1 are not learnt from; several labels
-of a doc_id count as several rows; with labels of one class or none every score is the share of label 1 (0.5 if none); an empty table gives no rows; other columns are not read.
+of a doc_id, and several texts, count as several rows, equal rows as one; very long texts are read whole, a slice each; rows of equal hashes are taken in the order of doc_id, label and
+text's hash; with labels of one class or none every score is the share of label 1 (0.5 if none); an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,50 +23,119 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.common import slices, spare
+from tracewell.llm.common import Scratch, slices, spare
 from tracewell.llm.ngram import indicators
 
 BITS = 18
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE_ROWS = 16_000
+#: Features of all those rows together, at most (four bytes each, and as many for their weights).
+SAMPLE_FEATURES = 16_000_000
 THRESHOLD = 0.3
 
 
+_ORDER = ["hash", "doc_id", "label", "text_hash"]
+
+
 def _features(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             row, feature = indicators(batch.column("text"), bits)
             offsets = np.searchsorted(row, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(feature, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), lists], ["label", "features"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _ORDER), pa.array(np.diff(offsets)), lists], [*_ORDER, "n", "features"])
 
     return run
 
 
-def _descend(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 12) -> np.ndarray:
-    """Weights (on scaled, length-one rows) of the L1-loss linear support vector machine, by dual coordinate descent."""
-    w, alpha, order = np.zeros(len(scale)), np.zeros(len(rows)), np.arange(len(rows))
-    values = [scale[f] for f in rows]
-    values = [v / max(np.sqrt(v @ v), 1e-12) for v in values]
-    rng = np.random.default_rng(0)
-    for _ in range(epochs):
-        rng.shuffle(order)
-        most = 0.0
-        for i in order:
-            f, v = rows[i], values[i]
-            gradient = y[i] * (w[f] @ v) - 1
-            new = min(max(alpha[i] - gradient, 0.0), cost[i])
-            if new != alpha[i]:
-                most = max(most, abs(new - alpha[i]))
-                w[f] += ((new - alpha[i]) * y[i]) * v
-                alpha[i] = new
-        if most < 1e-3:
-            break
-    return w
+class Rows:
+    """Features of rows, side by side, and their scaled values; a row's have length one."""
+
+    def __init__(self, first: np.ndarray, feature: np.ndarray):
+        self.first, self.feature = first, feature
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def counts(self, which: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros(size)
+        for i in which.tolist():
+            out[self.feature[self.first[i] : self.first[i + 1]]] += 1  # a row has a feature once
+        return out
+
+    def scale(self, scale: np.ndarray) -> None:
+        self.value = scale.astype(np.float32)[self.feature]
+        for a, b in zip(self.first.tolist(), self.first[1:].tolist()):
+            v = self.value[a:b]
+            v /= max(np.sqrt(np.dot(v, v)), 1e-12)
+
+    def descend(self, which: np.ndarray, size: int, y: np.ndarray, cost: np.ndarray, epochs: int = 12) -> np.ndarray:
+        """Weights of the L1-loss linear support vector machine on some rows, by dual coordinate descent."""
+        w, alpha, order = np.zeros(size), np.zeros(len(self)), which.copy()
+        rng = np.random.default_rng(0)
+        for _ in range(epochs):
+            rng.shuffle(order)
+            most = 0.0
+            for i in order.tolist():
+                a, b = self.first[i], self.first[i + 1]
+                f, v = self.feature[a:b], self.value[a:b]
+                gradient = y[i] * (w[f] @ v) - 1
+                new = min(max(alpha[i] - gradient, 0.0), cost[i])
+                if new != alpha[i]:
+                    most = max(most, abs(new - alpha[i]))
+                    w[f] += ((new - alpha[i]) * y[i]) * v
+                    alpha[i] = new
+            if most < 1e-3:
+                break
+        return w
+
+    def margins(self, which: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return np.array([w[self.feature[a:b]] @ self.value[a:b] for a, b in zip(self.first[which].tolist(), self.first[which + 1].tolist())])
+
+
+def learn(rows: Rows, y: np.ndarray, bits: int) -> Model:
+    """y: 1.0 or -1.0 of each row."""
+    n1 = int((y > 0).sum())
+    n0, size, every = len(y) - n1, 1 << bits, np.arange(len(y))
+    if not n0 or not n1:
+        share = n1 / len(y) if len(y) else 0.5
+        return Model(bits, np.zeros(size), np.zeros(size), 1.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
+    zero, one = (rows.counts(np.flatnonzero(y == c), size) + 1 for c in (-1, 1))
+    scale = np.log(one / one.sum()) - np.log(zero / zero.sum())
+    rows.scale(scale)
+    cost = np.where(y > 0, len(y) / (2 * n1), len(y) / (2 * n0))
+    margins = np.zeros(len(y))
+    for k in (0, 1):
+        learnt, unseen = every[every % 2 != k], every[every % 2 == k]
+        if len(set(y[learnt])) == 2:
+            margins[unseen] = rows.margins(unseen, rows.descend(learnt, size, y, cost))
+    a, b = _logistic(margins, y)
+    return Model(bits, scale, rows.descend(every, size, y, cost), a, b)
 
 
-def _margins(rows: list[np.ndarray], scale: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return np.array([(w[f] @ scale[f]) / max(np.sqrt(scale[f] @ scale[f]), 1e-12) for f in rows])
+def _learn(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The one task that holds the sample: at most SAMPLE_FEATURES features and SAMPLE_ROWS rows."""
+        keys, sizes, parts, y = [], [], [], []
+        for batch in batches:
+            keys += zip(*(batch.column(c).to_pylist() for c in _ORDER))
+            sizes.append(batch.column("n").to_numpy())
+            y.append(np.where(batch.column("label").to_numpy() == 1, 1.0, -1.0))
+            parts.append(batch.column("features").flatten().to_numpy().copy())
+        order = np.array(sorted(range(len(keys)), key=lambda i: tuple((x is not None, x) for x in keys[i])), np.int64)  # whatever order the rows came in
+        flat = np.concatenate([np.zeros(0, np.int32), *parts])
+        parts.clear()
+        size = np.concatenate([np.zeros(0, np.int64), *sizes])
+        begin = (np.cumsum(size) - size)[order]
+        first = np.concatenate([[0], np.cumsum(size[order])])
+        feature = np.empty_like(flat)
+        for at, a, b in zip(begin.tolist(), first.tolist(), first[1:].tolist()):
+            feature[a:b] = flat[at : at + b - a]
+        del flat
+        model = learn(Rows(first, feature), np.concatenate([np.zeros(0), *y])[order], bits)
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (model.scale.tobytes(), model.w.tobytes())] + [pa.array([x]) for x in (model.a, model.b)], ["scale", "w", "a", "b"])
+
+    return run
 
 
 def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -89,7 +159,9 @@ class Model:
     """Weights on features, and the curve from margin to score."""
 
     def __init__(self, bits: int, scale: np.ndarray, w: np.ndarray, a: float, b: float):
-        self.bits, self.scale, self.w, self.a, self.b = bits, scale.astype(np.float32), (w * scale).astype(np.float32), a, b
+        """w: of scaled features."""
+        self.bits, self.scale, self.a, self.b = bits, scale.astype(np.float32), a, b
+        self.w = (w * scale).astype(np.float32)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         row, feature = indicators(texts, self.bits)
@@ -99,37 +171,36 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.a * dot / np.maximum(size, 1e-12) + self.b, -30, 30)))
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", bits: int = BITS, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """labels: doc_id and the label column, only the rows to learn from. The driver gets sample_rows lists of features, at most.
+def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", bits: int = BITS, sample_rows: int = SAMPLE_ROWS, sample_features: int = SAMPLE_FEATURES) -> Model:
+    """labels: doc_id and the label column, only the rows to learn from.
 
-    The texts aren't shuffled: the chosen doc_ids, at most sample_rows, are broadcast to them.
+    The texts aren't shuffled: the chosen doc_ids, at most sample_rows, are broadcast to them. The features of their texts go to a table in the shared folder; as a doc_id
+    may have any number of texts, the sample is cut there by the rows' hashes and sizes, which the driver gets for at most sample_rows of them.
     """
-    marked = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
-    sample = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = sample.select("label", "text").mapInArrow(_features(bits), "label int, features array<int>").toArrow()
-    y = np.where(sample["label"].to_numpy() == 1, 1.0, -1.0)
-    lists = [x for chunk in sample["features"].chunks for x in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1])] if len(y) else []
-    order = sorted(range(len(y)), key=lambda i: (len(lists[i]), int(lists[i].sum()), y[i]))  # whatever order the rows came in
-    rows, y = [lists[i] for i in order], y[order]
-    n1 = int((y > 0).sum())
-    n0 = len(y) - n1
-    if not n0 or not n1:
-        share = n1 / len(y) if len(y) else 0.5
-        return Model(bits, np.zeros(1 << bits), np.zeros(1 << bits), 1.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    counts = np.ones((2, 1 << bits))
-    for k, sign in enumerate((-1, 1)):
-        counts[k] += np.bincount(np.concatenate([f for f, v in zip(rows, y) if v == sign]), minlength=1 << bits)
-    scale = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    cost = np.where(y > 0, len(y) / (2 * n1), len(y) / (2 * n0))
-    fold = np.arange(len(rows)) % 2
-    margins = np.zeros(len(rows))
-    for k in (0, 1):
-        learnt, unseen = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        if len(set(y[learnt])) == 2:
-            margins[unseen] = _margins([rows[i] for i in unseen], scale, _descend([rows[i] for i in learnt], scale, y[learnt], cost[learnt]))
-    a, b = _logistic(margins, y)
-    return Model(bits, scale, _descend(rows, scale, y, cost), a, b)
+    scratch = Scratch(documents.sparkSession, "quality")
+    marked = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
+    chosen = marked.select(F.xxhash64("doc_id").alias("hash"), "doc_id", "label").orderBy("hash", "doc_id", "label").limit(sample_rows)
+    texts = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("hash", F.col("doc_id").cast("string").alias("doc_id"), "label", F.xxhash64("text").alias("text_hash"), "text")
+    found = scratch.write(rows.mapInArrow(_features(bits), "hash long, doc_id string, label int, text_hash long, n long, features array<int>"), "features")
+    first = found.groupBy(*_ORDER).agg(F.min("n").alias("n")).orderBy(*_ORDER).limit(sample_rows).toArrow().to_pylist()
+    upto, total = None, 0
+    for row in first:
+        total += row["n"]
+        if total > sample_features and upto:
+            break
+        upto = [row[c] for c in _ORDER]
+    if upto is None:
+        return learn(Rows(np.zeros(1, np.int64), np.zeros(0, np.int32)), np.zeros(0), bits)
+    inside, same = F.lit(False), F.lit(True)
+    for c, x in zip(_ORDER, upto):  # in order, up to the last row taken
+        inside, same = inside | (same & (F.col(c) < F.lit(x))), same & (F.col(c) == F.lit(x))
+    sample = found.where(inside | same).dropDuplicates(_ORDER).repartition(1)
+    got = sample.mapInArrow(_learn(bits), "scale binary, w binary, a double, b double").first()
+    scratch.drop(found)
+    model = Model(bits, np.frombuffer(got["scale"], np.float32), np.zeros(1 << bits), got["a"], got["b"])
+    model.w = np.frombuffer(got["w"], np.float32)
+    return model
 
 
 def score(documents: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:

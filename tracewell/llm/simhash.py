@@ -12,7 +12,7 @@ every two chunks of a key meet in a task, which finds what is linked there by a
 spanning forest, not all pairs. So no task holds more than two chunks, and rows stay in proportion to the fingerprints.
 
 Cases: null text is empty; rows with null doc_id take part, and their component_id is the smallest doc_id reached, null if there is none; equal
-rows each come out; an empty table gives no rows; other columns are not read.
+rows each come out; very long texts are read whole, 65536 shingles at a time; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.llm.common import BROADCAST_IDS, WHITE, Scratch, byte_classes, hash_words, mix, shingle_hashes, slices, text_bytes, word_rows
 from tracewell.llm.components import components
@@ -164,7 +165,7 @@ def _grouped(docs: DataFrame, nodes: DataFrame, edges: DataFrame, scratch: Scrat
     rooted = scratch.write(nodes.join(roots, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root")), "rooted")
     # a table of its own, or the join would have to take over the aggregate's partitions, where a large component can't be split
     first = scratch.write(rooted.groupBy("root").agg(F.min("doc").alias("component_id")), "first")
-    return docs.join(rooted.join(first, "root").select("node", "component_id"), "node")
+    return docs.join(rooted.join(first, "root").select("node", "root", "component_id"), "node")
 
 
 def near_copies(documents: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
@@ -199,7 +200,9 @@ def _node(h: np.ndarray) -> int:
 
 
 def set_signatures(documents: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, node (a hash of the set of word shingles), size of the set, and one MinHash key a band. Texts without words are left out."""
+    """The columns but `text`, node (a hash of the set of word shingles), size of the set, and one MinHash key a band. Texts without words are left out."""
+    rest = [c for c in documents.columns if c != "text"]
+    names = [*rest, "node", "size", "keys"]
     factors = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 
     def keys(h: np.ndarray) -> np.ndarray:
@@ -216,11 +219,11 @@ def set_signatures(documents: DataFrame, shingle: int = 5) -> DataFrame:
         for batch, some, sets in _shingles(batches, shingle):
             node = np.array([_node(h) for h in sets], np.uint64).view(np.int64)
             signed = np.array([keys(h) for h in sets], np.uint64).reshape(-1, BANDS).view(np.int64)
-            cols = [batch.column("doc_id").take(pa.array(some)), pa.array(node), pa.array([len(h) for h in sets], pa.int64()), pa.array(list(signed), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "size", "keys"])
+            cols = [*(batch.column(c).take(pa.array(some)) for c in rest), pa.array(node), pa.array([len(h) for h in sets], pa.int64()), pa.array(list(signed), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names)
 
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, node long, size long, keys array<long>")
+    schema = T.StructType([*documents.select(*rest).schema.fields, *(T.StructField(c, T.LongType()) for c in ("node", "size")), T.StructField("keys", T.ArrayType(T.LongType()))])
+    return documents.select(*rest, "text").mapInArrow(run, schema)
 
 
 def shingle_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
@@ -314,21 +317,21 @@ def set_links(nodes: DataFrame, sets_of, similarity: float, scratch: Scratch) ->
     return pairs.unionByName(forests).distinct()
 
 
-def similar_copies(documents: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and component_id: groups of documents linked by a Jaccard similarity of `similarity` or more of their word shingles.
+def similar_copies(documents: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, the columns `keep`, root and component_id: groups of documents linked by a Jaccard similarity of `similarity` or more of their word shingles.
 
-    At 0.8 fingerprints differ in 15 of 100 bits, so that no block long enough to be rare is shared for sure, and no number of bits parts 0.8 from less. Here equal MinHash bands stand
-    in for blocks, and the sets of shingles themselves decide; they are made again from the texts of the nodes that share a key. Texts without words are no copies of anything.
+    root is the group itself (the hash of one of its sets), component_id its smallest doc_id, null if there is none. At 0.8 fingerprints differ in 15 of 100 bits, so that no block long
+    enough to be rare is shared for sure, and no number of bits parts 0.8 from less. Here equal MinHash bands stand in for blocks, and the sets of shingles themselves decide; they
+    are made again from the texts of the nodes that share a key. Texts without words are no copies of anything.
     """
     scratch = Scratch(documents.sparkSession, "simhash")
-    signed = scratch.write(set_signatures(documents, shingle), "signatures")
-    nodes = scratch.write(signed.groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("size").alias("size"), F.min("keys").alias("keys")), "distinct")
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(keep or []), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    signed = scratch.write(set_signatures(rows, shingle), "signatures")
+    nodes = scratch.write(signed.groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("text_hash").alias("text_hash"), F.min("size").alias("size"), F.min("keys").alias("keys")), "distinct")
 
     def sets_of(needed: DataFrame) -> DataFrame:
-        ids = scratch.write(nodes.join(needed, "node", "left_semi").where("doc is not null").select(F.col("doc").alias("doc_id")).distinct(), "ids")
-        named = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-        return shingle_sets(named.unionByName(rows.where("doc_id is null")), shingle)
+        texts = scratch.write(nodes.join(needed, "node", "left_semi").select("text_hash").distinct(), "texts")
+        return shingle_sets(rows.select("text", "text_hash").join(F.broadcast(texts) if texts.count() <= BROADCAST_IDS else texts, "text_hash", "left_semi"), shingle)
 
     edges = set_links(nodes.select("node", "size", "keys"), sets_of, similarity, scratch)
-    return _grouped(signed.select("doc_id", "node"), nodes.select("node", "doc"), edges, scratch).select("doc_id", "component_id")
+    return _grouped(signed.select("doc_id", *(keep or []), "node"), nodes.select("node", "doc"), edges, scratch).drop("node")
