@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tracewell.llm import decontaminate as D
 
@@ -61,7 +62,8 @@ def test_copies_are_found_wherever_they_stand(spark):
 
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     items, docs, planted, _ = corpus()
-    monkeypatch.setattr(D, "ITEMS", 3)
+    monkeypatch.setattr(D, "ITEMS", 2)
+    monkeypatch.setattr(D, "BLOCKS", 3)
     got = {(r.doc_id, r.item_id) for r in D.leaked_items(*frames(spark, items, docs)).collect()}
     assert set(planted.items()) <= got and {d for d, _ in got} <= set(planted)
 
@@ -140,3 +142,34 @@ def test_odd_rows_and_empty_tables(spark):
     assert D.leaked_items(df.limit(0), bench).count() == 0
     assert D.without_leaks(df, bench.limit(0)).count() == 6
     assert D.without_leaks(df, bench.where("item_id = 8")).count() == 6
+
+
+def test_items_of_few_words_are_found_word_for_word(spark):
+    items = [(1, "Two Words"), (2, "one"), (3, "--"), (4, "a b c d"), (5, "two words")]
+    docs = [(1, "here are two, WORDS."), (2, "two other words"), (3, "words two"), (4, "x a b c"), (5, "d a b c d"), (6, "One."), (7, None)]
+    got = {(r.doc_id, r.item_id): (r.cosine, r.kind) for r in D.leaked_items(*frames(spark, items, docs)).collect()}
+    assert got == {k: (None, "copy") for k in [(1, 1), (1, 5), (5, 4), (6, 2)]}
+
+
+def test_a_space_of_few_dimensions_finds_paraphrases_of_many_items(spark):
+    """1000 items and the same number of jobs as 40; every edited passage is found though the space has an eighth of the passages' dimensions."""
+    rng = random.Random(6)
+    words = [f"{a}{b}{c}" for a in "bcdfghjklmnprst" for b in ("ar", "el", "ion", "ter", "und", "osh", "ick", "emp") for c in "aeioudnrt"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(k, text(rng.randint(15, 60))) for k in range(1000)]
+    docs, planted = [(k, text(rng.randint(1, 300))) for k in range(400)], set()
+    for k in range(0, 1000, 4):
+        own = items[k][1].split()
+        edited = [w if i % 6 != 5 or i > len(own) * 0.7 else rng.choice(words) for i, w in enumerate(own)]
+        docs.append((5000 + k, f"{text(k % 50)} {' '.join(edited)} {text(k % 37)}"))
+        planted.add((5000 + k, k))
+    df, bench = frames(spark, items, docs)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = []
+    for n in (40, 1000):
+        spark.sparkContext.setJobGroup(f"leaks{n}", "")
+        got = {(r.doc_id, r.item_id) for r in D.leaked_items(df, bench.where(F.col("item_id") < n)).collect()}
+        jobs.append(len(tracker.getJobIdsForGroup(f"leaks{n}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert D.Block([(*x, None) for x in items]).rank <= 192
+    assert len(planted & got) / len(planted) >= 0.98 and got <= planted and jobs[0] == jobs[1]
