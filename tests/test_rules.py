@@ -131,8 +131,35 @@ def test_strong_components_and_paths(spark):
     nodes = spark.createDataFrame([("g", i) for i in range(1, 9)], "g string, id int")
     frame = spark.createDataFrame([("g", a, b) for a, b in edges], "g string, src int, dst int")
     assert {r.id: r.component for r in G.strong_components(nodes, frame).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8}
-    pairs = {(r.src, r.dst) for r in G.reachable(frame).collect()}
-    assert (7, 5) in pairs and (4, 1) not in pairs
+    t = G.topology(nodes, frame).first()
+    assert (t.nodes, t.edges, t.sccs, t.max_in, t.max_out) == (8, 8, 5, 2, 2) and abs(t.density - 8 / 56) < 1e-12 and t.mean_in == t.mean_out == 1.0
+
+
+def test_paths_of_any_length_and_cycles(spark):
+    units = spark.createDataFrame([("g", i, 1) for i in range(12)], "g string, id int, loc int")
+    chain = [("g", i + 1, i) for i in range(11)]
+    found = {r.id: (r.layer, r.weight) for r in G.longest_paths(units, spark.createDataFrame(chain, "g string, id int, on int")).collect()}
+    assert found[11] == (11, 12) and found[0] == (0, 1)
+    for more in ([("g", 0, 11)], [("g", 5, 9)]):
+        with pytest.raises(ValueError, match="cycle"):
+            G.longest_paths(units, spark.createDataFrame(chain + more, "g string, id int, on int"))
+
+
+def test_size_buckets_lose_no_match(spark):
+    rng = random.Random(5)
+    side = lambda n: [("p", k, k, rng.randint(0, 3), rng.choice([0, 1, 2, 3, 67, 100, 150, 151, rng.randint(1, 400)]), 3, 1, 1, 0, {c: rng.randint(0, 4) for c in "abc"}) for k in range(n)]
+    schema = "pair string, id int, order int, arity int, tot int, cyc int, depth int, ret int, loop int, h map<string,int>"
+    a, b = side(60), side(60)
+    for best, low, high in ((M.naive_best, 0.5, 2.0), (M.strict_best, 0.67, 1.5)):
+        found = {r.id_a: r.id_b is not None for r in best(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect()}
+        assert found == {x[1]: any(x[4] and abs(x[3] - y[3]) <= 1 and low <= y[4] / x[4] <= high for y in b) for x in a}
+
+
+def test_pooled_bound_is_that_of_drawn_pairs():
+    rng = np.random.default_rng(0)
+    pos, neg = rng.normal(1, 1, 25), rng.normal(0, 1, 25)
+    plain = [T.sample_auc(pos[rng.integers(0, 25, 25)], neg[rng.integers(0, 25, 25)]) for _ in range(4000)]
+    assert abs(T.pooled_lower(rng, pos, neg, 4000, 5.0) - np.quantile(plain, 0.05)) < 0.02
 
 
 def test_class_verdicts_residuals_and_displayed(spark):

@@ -113,7 +113,7 @@ def test_envelope_intervals_and_validation(spark):
     rows = {(r.a, r.b): r for r in Q.q9_envelope(spark, "").collect()}
     assert rows["old", "new"].combined > 0.9 > 0.7 > rows["old", "other"].combined
     found = {r.signal: r for r in Q.q20_intervals(spark, "").collect()}
-    assert set(found) == {"control_flow", "topology", "wl", "functions"} and all(r.n_resamples == 40 and 0 <= r.lower <= r.upper <= 1 + 1e-9 for r in found.values())
+    assert set(found) == {"control_flow", "topology", "wl", "functions"} and all(r.n_resamples == 1000 and 0 <= r.lower <= r.upper <= 1 + 1e-9 for r in found.values())
     assert {r.name: r.agrees for r in Q.q21_validation(spark, "").collect()} == {"old.return": True, "edges.old": True, "edges.new": False}
 
 

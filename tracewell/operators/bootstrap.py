@@ -16,7 +16,7 @@ from tracewell.operators import graph as G
 from tracewell.operators.statistics import numpy_draws, percentile_interval
 
 #: Measures of a graph that a topology similarity compares.
-TOPOLOGY = ["nodes", "edges", "density", "mean_in", "mean_out", "max_in", "max_out"]
+TOPOLOGY = ["nodes", "edges", "density", "sccs", "mean_in", "mean_out", "max_in", "max_out"]
 
 
 def resamples(spark: SparkSession, a: list[str], b: list[str], reps: int = 1000, seed: int = 20260528) -> DataFrame:
@@ -28,11 +28,17 @@ def resamples(spark: SparkSession, a: list[str], b: list[str], reps: int = 1000,
     return spark.createDataFrame(rows, "rep int, side string, path string, weight int")
 
 
+def _cosine(hist: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(rep, metric) of hist(rep, ..., a, b); zero for a replicate whose files hold nothing."""
+    sums = hist.groupBy("rep").agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.sum(F.col("a") ** 2).alias("aa"), F.sum(F.col("b") ** 2).alias("bb"))
+    metric = safe_div(F.col("dot"), F.sqrt("aa") * F.sqrt("bb"))
+    return drawn.select("rep").distinct().join(sums, "rep", "left").select("rep", F.coalesce(metric, F.lit(0.0)).alias("metric"))
+
+
 def histogram_cosine(contributions: DataFrame, drawn: DataFrame) -> DataFrame:
     """(rep, metric) of contributions(side, path, key, cnt)."""
     hist = contributions.join(drawn, ["side", "path"]).groupBy("rep", "key").agg(*(F.sum(F.when(F.col("side") == s, F.col("cnt") * F.col("weight")).otherwise(0)).cast("double").alias(s) for s in "ab"))
-    sums = hist.groupBy("rep").agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.sum(F.col("a") ** 2).alias("aa"), F.sum(F.col("b") ** 2).alias("bb"))
-    return sums.select("rep", safe_div(F.col("dot"), F.sqrt("aa") * F.sqrt("bb")).alias("metric"))
+    return _cosine(hist, drawn)
 
 
 def _graphs(functions: DataFrame, calls: DataFrame, drawn: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,8 +60,7 @@ def wl_cosine(functions: DataFrame, calls: DataFrame, drawn: DataFrame, rounds:
     """(rep, metric): cosine of the graphs' label multisets."""
     labels = G.wl_labels(*_graphs(functions, calls, drawn), rounds=rounds)
     hist = labels.groupBy(F.col("g.rep").alias("rep"), "iter", "label").agg(*(F.count_if(F.col("g.side") == s).cast("double").alias(s) for s in "ab"))
-    sums = hist.groupBy("rep").agg(F.sum(F.col("a") * F.col("b")).alias("dot"), F.sum(F.col("a") ** 2).alias("aa"), F.sum(F.col("b") ** 2).alias("bb"))
-    return sums.select("rep", safe_div(F.col("dot"), F.sqrt("aa") * F.sqrt("bb")).alias("metric"))
+    return _cosine(hist, drawn)
 
 
 def mean_similarity(matches: DataFrame, reps: int = 1000, seed: int = 20260528) -> DataFrame:

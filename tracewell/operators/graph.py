@@ -24,11 +24,12 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def topology(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row a graph: nodes, edges, density, mean and largest degrees."""
+    """One row a graph: nodes, edges, density, strong components, mean and largest degrees."""
     d = degrees(nodes, edges).groupBy("g")
+    strong = strong_components(nodes, edges).groupBy("g").agg(F.count_distinct("component").alias("sccs"))
     n, m = F.col("nodes"), F.col("edges")
     out = d.agg(F.count(F.lit(1)).alias("nodes"), F.sum("n_out").alias("edges"), F.avg("n_in").alias("mean_in"), F.avg("n_out").alias("mean_out"), F.max("n_in").alias("max_in"), F.max("n_out").alias("max_out"))
-    return out.withColumn("density", safe_div(m, n * (n - 1)))
+    return out.withColumn("density", safe_div(m, n * (n - 1))).join(strong, "g")
 
 
 def wl_labels(nodes: DataFrame, edges: DataFrame, rounds: int = 4, successors_only: bool = False) -> DataFrame:
@@ -114,16 +115,21 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def longest_paths(units: DataFrame, depends: DataFrame) -> DataFrame:
     """(g, id, layer, weight, path): the heaviest path that ends at each unit of a DAG; units(g, id, loc), depends(g, id, on).
 
-    Layers are settled one at a time, a round a layer; ties go to the smaller path.
+    Layers are settled one at a time, a round a layer, until none is left; ties go to the smaller path. Units in a cycle, or behind one, raise an error.
     """
+    count = units.count()
     first = units.join(depends.select("g", "id").distinct(), ["g", "id"], "left_anti")
     at = cut(first.select("g", "id", F.lit(0).alias("layer"), F.col("loc").cast("long").alias("weight"), F.array("id").alias("path")))
-    best = at
-    for layer in range(1, 10_000):
+    best, layer = at, 0
+    while not at.isEmpty():
+        layer += 1
+        if layer > count:
+            raise ValueError("units depend on each other in a cycle")
         step = at.select("g", F.col("id").alias("on"), "weight", "path").join(depends, ["g", "on"]).join(units, ["g", "id"])
         step = step.select("g", "id", F.lit(layer).alias("layer"), (F.col("weight") + F.col("loc")).alias("weight"), F.concat("path", F.array("id")).alias("path"))
         at = cut(step.groupBy("g", "id").agg(F.max("layer").alias("layer"), F.max_by(F.struct("weight", "path"), F.col("weight")).alias("b")).select("g", "id", "layer", "b.weight", "b.path"))
-        if at.isEmpty():
-            break
         best = best.unionByName(at)
-    return best.groupBy("g", "id").agg(F.max("layer").alias("layer"), F.max("weight").alias("weight"), F.max_by("path", "weight").alias("path"))
+    out = cut(best.groupBy("g", "id").agg(F.max("layer").alias("layer"), F.max("weight").alias("weight"), F.max_by("path", "weight").alias("path")))
+    if out.count() < count:
+        raise ValueError("units depend on each other in a cycle")
+    return out

@@ -1,8 +1,8 @@
 """Gated nearest matches and one-to-one matches of descriptors.
 
 A descriptor has arity, tot (its size), cyc, depth, ret, loop and a histogram h (map<string,int>). Gates come before cosines: the join's condition holds the gate alone, so that a
-cosine is worked out for survivors. A gate without an equality is given one: the banded column is bucketed, and the other side is offered to the
-neighbouring buckets, so that the join is a hash join and never a nested loop.
+cosine is worked out for survivors. The gate on the ratio of sizes becomes an equality: sizes are bucketed by their logarithm, and the other side is offered to the
+neighbouring buckets, so that the join is a hash join on many values and never a nested loop.
 """
 
 from __future__ import annotations
@@ -32,6 +32,13 @@ def _ratio(low: float, high: float) -> Column:
     return (F.col("tot_a") > 0) & ratio.between(low, high)
 
 
+def _offered(left: DataFrame, right: DataFrame, width: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a bucket of their sizes' logarithm, the right one offered to three: sizes whose ratio is below `width` meet. Sizes of zero meet nothing."""
+    bucket = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.log(F.lit(width))).cast("int")
+    left = left.where("tot_a > 0").withColumn("at_a", bucket("tot_a"))
+    return left, right.where("tot_b > 0").withColumn("at_b", F.explode(F.array(*[bucket("tot_b") + d for d in (-1, 0, 1)])))
+
+
 def _best(found: DataFrame, src: DataFrame) -> DataFrame:
     """For each source descriptor its best candidate; null and 0 where there is none."""
     best = found.groupBy("pair", "id_a").agg(F.max_by(F.struct("id_b", "cosine"), F.struct(F.col("cosine"), F.expr("-order_b"))).alias("m"))
@@ -40,17 +47,17 @@ def _best(found: DataFrame, src: DataFrame) -> DataFrame:
 
 def naive_best(a: DataFrame, b: DataFrame) -> DataFrame:
     """Best match by arity within one and half to twice the size. a, b: (pair, id, order, descriptor)."""
-    left, right = _sides(a, b, [*DESCRIPTOR, "order"])
-    offered = right.withColumn("near", F.explode(F.array(*[F.col("arity_b") + d for d in (-1, 0, 1)])))
-    gated = left.join(offered, (left.pair == offered.pair) & (F.col("arity_a") == F.col("near")) & _ratio(0.5, 2.0)).drop(offered.pair)
+    left, right = _offered(*_sides(a, b, [*DESCRIPTOR, "order"]), 2.01)
+    gate = (left.pair == right.pair) & (F.col("at_a") == F.col("at_b")) & (F.abs(F.col("arity_a") - F.col("arity_b")) <= 1) & _ratio(0.5, 2.0)
+    gated = left.join(right, gate).drop(right.pair)
     return _best(gated.withColumn("cosine", map_cosine(F.col("h_a"), F.col("h_b"))), a)
 
 
 def strict_best(a: DataFrame, b: DataFrame) -> DataFrame:
     """Best match by equal loops; arity, depth and returns within one; 0.67 to 1.5 times the size."""
-    left, right = _sides(a, b, [*DESCRIPTOR, "order"])
+    left, right = _offered(*_sides(a, b, [*DESCRIPTOR, "order"]), 1.51)
     near = lambda c: F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) <= 1
-    gate = (left.pair == right.pair) & (F.col("loop_a") == F.col("loop_b")) & near("arity") & near("depth") & near("ret") & _ratio(0.67, 1.5)
+    gate = (left.pair == right.pair) & (F.col("at_a") == F.col("at_b")) & (F.col("loop_a") == F.col("loop_b")) & near("arity") & near("depth") & near("ret") & _ratio(0.67, 1.5)
     return _best(left.join(right, gate).drop(right.pair).withColumn("cosine", map_cosine(F.col("h_a"), F.col("h_b"))), a)
 
 
@@ -80,7 +87,7 @@ def null_panel(verdicts: DataFrame) -> DataFrame:
     return share.groupBy(F.col("pair.source").alias("source")).agg(F.avg("share").alias("mean"), F.max("share").alias("largest"))
 
 
-def mutual_greedy(candidates: DataFrame, rounds: int = 10_000) -> DataFrame:
+def mutual_greedy(candidates: DataFrame) -> DataFrame:
     """Greedy one-to-one matches: (pair, i, j, distance), taken in ascending (distance, i, j), each i and j of a pair once.
 
     Candidates are in total order, so every one that is the first of both its i and its j would be taken by the sequential rule too. A round takes all of those at
@@ -90,7 +97,7 @@ def mutual_greedy(candidates: DataFrame, rounds: int = 10_000) -> DataFrame:
 
     order = F.struct("distance", "i", "j")
     left, out = cut(candidates.select("pair", "i", "j", "distance")), None
-    for _ in range(rounds):
+    while True:  # a round takes the first candidate of each pair at least
         first_i = left.groupBy("pair", "i").agg(F.min(order).alias("fi"))
         first_j = left.groupBy("pair", "j").agg(F.min(order).alias("fj"))
         taken = left.join(first_i, ["pair", "i"]).join(first_j, ["pair", "j"]).where((F.col("fi") == order) & (F.col("fj") == order)).select("pair", "i", "j", "distance")
@@ -98,8 +105,7 @@ def mutual_greedy(candidates: DataFrame, rounds: int = 10_000) -> DataFrame:
         out = taken if out is None else out.unionByName(taken)
         left = cut(left.join(taken.select("pair", "i"), ["pair", "i"], "left_anti").join(taken.select("pair", "j"), ["pair", "j"], "left_anti"))
         if left.isEmpty():
-            break
-    return out
+            return out
 
 
 def in_order_greedy(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import QUIRK_STOP, degree_bucket, is_distinctive, is_message, map_cosine, message, pair_distance, shingles
@@ -234,8 +234,8 @@ def x18_x22_interfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def x23_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strict matches of the old functions among the new ones."""
-    found = C.view(features(spark), "trace").select("impl", F.concat_ws(":", "path", "name").alias("id"), F.concat_ws(":", "path", "name").alias("order_key"), *M.DESCRIPTOR)
-    ordered = S.first_n(found, ["impl"], ["order_key"], 1 << 30).withColumn("order", F.crc32("order_key"))
+    found = C.view(features(spark), "trace").select("impl", F.concat_ws(":", "path", "name").alias("id"), "path", "pos", *M.DESCRIPTOR)
+    ordered = found.withColumn("order", F.row_number().over(Window.partitionBy("impl").orderBy("path", "pos")))
     a, b = (ordered.where(F.col("impl") == i).select(F.lit("old>new").alias("pair"), "id", "order", *M.DESCRIPTOR) for i in ("old", "new"))
     return M.verdict(M.strict_best(a, b)).select("id_a", "id_b", F.round("cosine", 9).alias("cosine"), "verdict", "band")
 
@@ -278,9 +278,8 @@ def measures(spark: SparkSession) -> DataFrame:
     streams = S.histogram(view("stream").select("impl", F.explode(shingles(F.col("items"), 5)).alias("gram")), "impl", "gram")
     graph = name_graph(found)
     labels = G.wl_labels(*graph, rounds=4, successors_only=True).withColumn("key", F.concat_ws(":", "iter", "label"))
-    strong = G.strong_components(*graph).groupBy("g").agg((F.count_distinct("component") / F.count(F.lit(1))).alias("scc_ratio"))
-    topology = G.topology(*graph).join(strong, "g")
-    shape = view("pilot_fn").select("impl", F.struct("shape.n_pos", "shape.n_kw", "shape.va", "shape.kw").alias("sig"), F.concat_ws(":", "path", "name").alias("id"), "h").withColumn("order", F.crc32("id"))
+    topology = G.topology(*graph).withColumn("scc_ratio", F.col("sccs") / F.col("nodes"))
+    shape = view("pilot_fn").select("impl", F.struct("shape.n_pos", "shape.n_kw", "shape.va", "shape.kw").alias("sig"), F.concat_ws(":", "path", "name").alias("id"), "h", F.struct("path", "pos").alias("at")).withColumn("order", F.row_number().over(Window.partitionBy("impl").orderBy("at"))).drop("at")
     pairs = spark.createDataFrame(PAIRS, "a string, b string, label string")
     left, right = (shape.join(pairs.select(F.col(x).alias("impl"), F.concat_ws(">", "a", "b").alias("pair")), "impl") for x in "ab")
     matched = M.in_order_greedy(left, right).groupBy("pair").agg(F.avg("cosine").alias("value"))
@@ -326,13 +325,12 @@ def q20_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile intervals of four signals over resampled files (and matches) of the two packages."""
     found = features(spark).withColumn("side", F.when(F.col("impl") == "old", "a").otherwise("b")).persist()
     paths = [sorted(p for p in files if not p.startswith("broken")) for files in (OLD, NEW)]
-    drawn = BS.resamples(spark, *paths, reps=40).persist()
+    drawn = BS.resamples(spark, *paths).persist()
     control = C.view(found, "control").select("side", "path", F.col("name").alias("key"), F.col("n").alias("cnt"))
     graph = C.view(found, "call_fn").select("side", "path", F.col("name").alias("id")), C.view(found, "call_edge").select("side", "path", F.col("a").alias("src"), F.col("b").alias("dst"))
-    matches = j3_function_matches(spark, sf_dir).orderBy("i", "j").toPandas()
-    numbered = spark.createDataFrame([(i, float(d)) for i, d in enumerate(matches["distance"])], "idx int, distance double")
+    numbered = j3_function_matches(spark, sf_dir).select((F.row_number().over(Window.partitionBy("pair").orderBy("i", "j")) - 1).alias("idx"), "distance")
     out = BS.interval(BS.histogram_cosine(control, drawn), "control_flow")
-    for signal, metrics in (("topology", BS.topology_similarity(*graph, drawn)), ("wl", BS.wl_cosine(*graph, drawn, rounds=2)), ("functions", BS.mean_similarity(numbered, reps=40))):
+    for signal, metrics in (("topology", BS.topology_similarity(*graph, drawn)), ("wl", BS.wl_cosine(*graph, drawn)), ("functions", BS.mean_similarity(numbered))):
         out = out.unionByName(BS.interval(metrics, signal))
     return out
 

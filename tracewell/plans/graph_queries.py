@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import degree_bucket
@@ -12,34 +12,41 @@ from tracewell.operators import similarity as S
 from tracewell.plans.registry import query, table
 
 _TRADE = """t AS (SELECT o_orderpriority AS g, c_nationkey::VARCHAR AS src, s_nationkey::VARCHAR AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, src, dst) AS i FROM t), edges AS (SELECT g, src, dst FROM ranked WHERE i <= 60),
+    sums AS (SELECT *, sum(n) OVER (PARTITION BY g) AS every, sum(n) OVER (PARTITION BY g, src) AS n_src, sum(n) OVER (PARTITION BY g, dst) AS n_dst FROM t), edges AS (SELECT g, src, dst FROM sums WHERE n * every > n_src * n_dst),
     nodes AS (SELECT g, src AS id FROM edges UNION SELECT g, dst FROM edges),
     deg AS (SELECT n.g, n.id, (SELECT count(*) FROM edges e WHERE e.g = n.g AND e.dst = n.id) AS n_in, (SELECT count(*) FROM edges e WHERE e.g = n.g AND e.src = n.id) AS n_out FROM nodes n)"""
 
 
 def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A graph for each order priority: the 60 heaviest flows from a customer's to a supplier's nation."""
+    """A graph for each order priority: the flows from a customer's to a supplier's nation that are larger than the two nations' shares of all flows explain."""
     t = {n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "supplier")}
     lines = t["lineitem"].select("l_orderkey", "l_suppkey").join(t["orders"].select("o_orderkey", "o_custkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
     lines = lines.join(t["customer"].select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t["supplier"].select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     flows = lines.groupBy(F.col("o_orderpriority").alias("g"), F.col("c_nationkey").cast("string").alias("src"), F.col("s_nationkey").cast("string").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
-    edges = S.first_n(flows, ["g"], [F.desc("n"), "src", "dst"], 60).select("g", "src", "dst")
+    total = lambda *by: F.sum("n").over(Window.partitionBy("g", *by))
+    edges = flows.withColumns({"every": total(), "n_src": total("src"), "n_dst": total("dst")}).where("n * every > n_src * n_dst").select("g", "src", "dst")
     return G.merge(edges.select("g", F.col("src").alias("id")), edges)
 
 
+#: For each node its strong component, by the closure of the edges.
+_STRONG = """reach AS (SELECT g, src, dst FROM edges UNION SELECT r.g, r.src, e.dst FROM reach r JOIN edges e ON e.g = r.g AND e.src = r.dst),
+    strong AS (SELECT n.g, n.id, least(n.id, coalesce(min(r.dst), n.id)) AS component FROM nodes n LEFT JOIN (SELECT r.* FROM reach r JOIN reach b ON b.g = r.g AND b.src = r.dst AND b.dst = r.src) r ON r.g = n.g AND r.src = n.id GROUP BY 1, 2),
+    sccs AS (SELECT g, count(DISTINCT component) AS sccs FROM strong GROUP BY 1)"""
+
+
 @query(
-    f"""WITH {_TRADE} SELECT g, count(*) AS nodes, sum(n_out)::BIGINT AS edges, round(avg(n_in), 9) AS mean_in, round(avg(n_out), 9) AS mean_out, max(n_in) AS max_in, max(n_out) AS max_out, round(sum(n_out) / (count(*) * (count(*) - 1)), 9) AS density FROM deg GROUP BY 1"""
+    f"""WITH RECURSIVE {_TRADE}, {_STRONG} SELECT g, count(*) AS nodes, sum(n_out)::BIGINT AS edges, any_value(sccs) AS sccs, round(avg(n_in), 9) AS mean_in, round(avg(n_out), 9) AS mean_out, max(n_in) AS max_in, max(n_out) AS max_out, round(sum(n_out) / (count(*) * (count(*) - 1)), 9) AS density FROM deg JOIN sccs USING (g) GROUP BY 1"""
 )
 def a6_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = G.topology(*trade(spark, sf_dir))
-    return t.select("g", "nodes", "edges", *(F.round(c, 9).alias(c) for c in ("mean_in", "mean_out")), "max_in", "max_out", F.round("density", 9).alias("density"))
+    return t.select("g", "nodes", "edges", "sccs", *(F.round(c, 9).alias(c) for c in ("mean_in", "mean_out")), "max_in", "max_out", F.round("density", 9).alias("density"))
 
 
-_FEATURES = ["nodes", "edges", "density", "mean_in", "mean_out", "max_in", "max_out"]
+_FEATURES = ["nodes", "edges", "density", "sccs", "mean_in", "mean_out", "max_in", "max_out"]
 
 
 @query(
-    f"""WITH {_TRADE}, f AS (SELECT g, count(*) AS nodes, sum(n_out) AS edges, avg(n_in) AS mean_in, avg(n_out) AS mean_out, max(n_in) AS max_in, max(n_out) AS max_out, sum(n_out) / (count(*) * (count(*) - 1)) AS density FROM deg GROUP BY 1)
+    f"""WITH RECURSIVE {_TRADE}, {_STRONG}, f AS (SELECT g, count(*) AS nodes, sum(n_out) AS edges, any_value(sccs) AS sccs, avg(n_in) AS mean_in, avg(n_out) AS mean_out, max(n_in) AS max_in, max(n_out) AS max_out, sum(n_out) / (count(*) * (count(*) - 1)) AS density FROM deg JOIN sccs USING (g) GROUP BY 1)
     SELECT x.g AS a, y.g AS b, round(1 - ({" + ".join(f"CASE WHEN x.{c} = 0 AND y.{c} = 0 THEN 0 ELSE abs(x.{c} - y.{c}) / (abs(x.{c}) + abs(y.{c})) END" for c in _FEATURES)}) / {len(_FEATURES)}, 9) AS similarity FROM f x JOIN f y ON x.g < y.g"""
 )
 def q2_topology_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,16 +56,16 @@ def q2_topology_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _wl_sql(successors: bool) -> str:
     label = "n_in || '_' || n_out" if successors else "'d:' || n_in || '|' || n_out"
     ctes = [f"l0 AS (SELECT g, id, {label} AS label FROM deg)"]
-    for i in (1, 2, 3):
+    for i in (1, 2, 3, 4):
         ins = "" if successors else f"|| '||' || coalesce((SELECT array_to_string(list_sort(list(x.label)), ',') FROM edges e JOIN l{i - 1} x ON x.g = e.g AND x.id = e.src WHERE e.g = l.g AND e.dst = l.id), '')"
         ctes.append(f"l{i} AS (SELECT g, id, substr(sha256(l.label {ins} || '||' || coalesce((SELECT array_to_string(list_sort(list(x.label)), ',') FROM edges e JOIN l{i - 1} x ON x.g = e.g AND x.id = e.dst WHERE e.g = l.g AND e.src = l.id), '')), 1, 16) AS label FROM l{i - 1} l)")
-    every = " UNION ALL ".join(f"SELECT g, {i} AS iter, label FROM l{i}" for i in range(4))
+    every = " UNION ALL ".join(f"SELECT g, {i} AS iter, label FROM l{i}" for i in range(5))
     return f"""WITH {_TRADE}, {", ".join(ctes)}, h AS (SELECT g AS side, iter, label AS key, count(*) AS cnt FROM ({every}) GROUP BY 1, 2, 3), norms AS (SELECT side, sqrt(sum(cnt * cnt)) AS n FROM h GROUP BY 1)
     SELECT x.side AS a, y.side AS b, round(coalesce((SELECT sum(p.cnt * q.cnt) FROM h p JOIN h q ON p.key = q.key AND p.iter = q.iter WHERE p.side = x.side AND q.side = y.side), 0) / x.n / y.n, 9) AS cosine FROM norms x JOIN norms y ON x.side < y.side"""
 
 
 def _wl_cosine(spark: SparkSession, sf_dir: str, successors: bool) -> DataFrame:
-    labels = G.wl_labels(*trade(spark, sf_dir), rounds=3, successors_only=successors)
+    labels = G.wl_labels(*trade(spark, sf_dir), rounds=4, successors_only=successors)
     hist = S.histogram(labels.withColumn("key", F.concat_ws(":", "iter", "label")), "g", "key")
     return S.cosine(hist).select("a", "b", F.round("cosine", 9).alias("cosine"))
 
@@ -74,8 +81,7 @@ def g5_wl_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_TRADE}, reach AS (SELECT g, src, dst FROM edges UNION SELECT r.g, r.src, e.dst FROM reach r JOIN edges e ON e.g = r.g AND e.src = r.dst)
-    SELECT n.g, n.id, least(n.id, coalesce(min(r.dst), n.id)) AS component FROM nodes n LEFT JOIN reach r ON r.g = n.g AND r.src = n.id AND EXISTS (SELECT 1 FROM reach b WHERE b.g = n.g AND b.src = r.dst AND b.dst = n.id) GROUP BY 1, 2"""
+    f"""WITH RECURSIVE {_TRADE}, {_STRONG} SELECT g, id, component FROM strong"""
 )
 def g6_strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.strong_components(*trade(spark, sf_dir))
@@ -130,7 +136,7 @@ def j20_asymmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TRADE} SELECT g, count(*) AS nodes, sum(n_out)::BIGINT AS edges, round(sum(n_out) / count(*), 9) AS edges_a_node FROM deg GROUP BY 1")
 def g8_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = G.topology(*trade(spark, sf_dir))
+    t = G.degrees(*trade(spark, sf_dir)).groupBy("g").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n_out").alias("edges"))
     return t.select("g", "nodes", "edges", F.round(F.col("edges") / F.col("nodes"), 9).alias("edges_a_node"))
 
 

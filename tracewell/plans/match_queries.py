@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.columns import map_cosine, pair_distance
@@ -26,23 +26,28 @@ def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _pair(rows: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
-    pair = F.lit(f"{a}>{b}").alias("pair")
-    return tuple(rows.where(F.col("source") == s).select(pair, "id", "order", *M.DESCRIPTOR) for s in (a, b))
+def _ring(rows: DataFrame, steps: list[int]) -> DataFrame:
+    """(sa, sb): each source with the ones that follow it by so many steps in name order; the first follows the last. One row a source is numbered."""
+    w = Window.orderBy("source")
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    numbered = rows.select("source").where("source is not null").distinct().select("source", (F.row_number().over(w) - 1).alias("i"), F.count(F.lit(1)).over(every).alias("n"))
+    ahead = numbered.select(F.col("source").alias("sa"), F.explode(F.array(*[(F.col("i") + k) % F.col("n") for k in steps])).alias("i"))
+    return ahead.join(numbered.select(F.col("source").alias("sb"), "i"), "i").select("sa", "sb").distinct()
 
 
-_PAIRS = [("src0", "src1"), ("src1", "src0"), ("src2", "src3")]
+def _all_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every source with the next one, both ways."""
+    ring = _ring(rows, [1])
+    pairs = ring.union(ring.select("sb", "sa")).distinct().select(F.concat_ws(">", "sa", "sb").alias("pair"), "sa", "sb")
+    return tuple(rows.join(pairs.select("pair", F.col(s).alias("source")), "source").select("pair", "id", "order", *M.DESCRIPTOR) for s in ("sa", "sb"))
 
 
-def _all_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    left = right = None
-    for a, b in _PAIRS:
-        x, y = _pair(rows, a, b)
-        left, right = (x, y) if left is None else (left.unionByName(x), right.unionByName(y))
-    return left, right
+def _ring_sql(steps: list[int]) -> str:
+    numbered = "(SELECT source, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL))"
+    return f"ring AS (SELECT DISTINCT x.source AS sa, y.source AS sb FROM {numbered} x CROSS JOIN (VALUES {', '.join(f'({k})' for k in steps)}) k(k) JOIN {numbered} y ON y.i = (x.i + k) % x.n)"
 
 
-_PAIR_SQL = "p AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}>{b}', '{a}', '{b}')" for a, b in _PAIRS) + ") t(pair, sa, sb))"
+_PAIR_SQL = f"{_ring_sql([1])}, p AS (SELECT sa || '>' || sb AS pair, sa, sb FROM ring UNION SELECT sb || '>' || sa, sb, sa FROM ring)"
 _NAIVE_GATE = "abs(a.arity - b.arity) <= 1 AND a.tot > 0 AND b.tot / a.tot BETWEEN 0.5 AND 2.0"
 _STRICT_GATE = "a.loop = b.loop AND abs(a.arity - b.arity) <= 1 AND abs(a.depth - b.depth) <= 1 AND abs(a.ret - b.ret) <= 1 AND a.tot > 0 AND b.tot / a.tot BETWEEN 0.67 AND 1.5"
 
@@ -88,21 +93,21 @@ def q18_gate_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.sweep(found, [2, 4, 6, 8, 10], [0.9, 0.95, 0.98, 0.99])
 
 
-_PANEL = ["src10", "src11", "src12", "src13"]
+#: Steps in the ring from a source to the targets of its panel; the next source is none of them.
+_PANEL = [2, 3, 4, 5]
 
 
 @query(
-    f"""WITH {_D_SQL}, t AS (SELECT x AS target FROM (VALUES {", ".join(f"('{s}')" for s in _PANEL)}) v(x)), m AS (SELECT a.source, t.target, a.id, max(coalesce({_COS_SQL}, 0.0)) FILTER (b.id IS NOT NULL) AS best FROM d a CROSS JOIN t LEFT JOIN d b ON b.source = t.target AND {_STRICT_GATE} WHERE a.source IN ('src0', 'src1') AND a.cyc >= 8 GROUP BY 1, 2, 3),
+    f"""WITH {_D_SQL}, {_ring_sql(_PANEL)}, m AS (SELECT a.source, t.sb AS target, a.id, max(coalesce({_COS_SQL}, 0.0)) FILTER (b.id IS NOT NULL) AS best FROM d a JOIN ring t ON t.sa = a.source LEFT JOIN d b ON b.source = t.sb AND {_STRICT_GATE} WHERE a.cyc >= 8 GROUP BY 1, 2, 3),
     s AS (SELECT source, target, avg((coalesce(best, 0) >= 0.95)::INT) AS share FROM m GROUP BY 1, 2) SELECT source, round(avg(share), 9) AS mean, round(max(share), 9) AS largest FROM s GROUP BY 1"""
 )
 def q19_null_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Load-bearing descriptors of two sources against a panel of unrelated ones."""
+    """Load-bearing descriptors of every source against a panel of four others."""
     rows = descriptors(spark, sf_dir)
-    panel = spark.createDataFrame([(s,) for s in _PANEL], "target string")
-    a = rows.where(F.col("source").isin("src0", "src1") & (F.col("cyc") >= 8)).join(F.broadcast(panel)).select(F.struct("source", "target").alias("pair"), "id", "order", *M.DESCRIPTOR)
-    sources = spark.createDataFrame([("src0",), ("src1",)], "s string")
-    b = rows.where(F.col("source").isin(_PANEL)).join(F.broadcast(sources)).select(F.struct(F.col("s").alias("source"), F.col("source").alias("target")).alias("pair"), "id", "order", *M.DESCRIPTOR)
-    found = M.verdict(M.strict_best(a, b).withColumn("cosine", F.round("cosine", 9)))
+    pair = F.struct(F.col("sa").alias("source"), F.col("sb").alias("target")).alias("pair")
+    ring = _ring(rows, _PANEL).select(pair, "sa", "sb")
+    a, b = (rows.join(ring.select("pair", F.col(s).alias("source")), "source").select("pair", "id", "order", *M.DESCRIPTOR) for s in ("sa", "sb"))
+    found = M.verdict(M.strict_best(a.where("cyc >= 8"), b).withColumn("cosine", F.round("cosine", 9)))
     return M.null_panel(found).select("source", F.round("mean", 9).alias("mean"), F.round("largest", 9).alias("largest"))
 
 

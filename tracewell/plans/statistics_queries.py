@@ -43,7 +43,7 @@ def a27_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH f AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY source) - 1 AS idx, avg(n_chars) AS v FROM documents GROUP BY lang, source), s AS (SELECT lang, count(*) AS n FROM f GROUP BY 1),
-    dr AS (SELECT lang, rep, ('0x' || substr(md5(rep || '|' || draw || '|20260528'), 1, 8))::UBIGINT % n AS idx FROM (SELECT lang, n, unnest(range(n)) AS draw FROM s) CROSS JOIN (SELECT range AS rep FROM range(200))),
+    dr AS (SELECT lang, rep, ('0x' || substr(md5(rep || '|' || draw || '|20260528'), 1, 8))::UBIGINT % n AS idx FROM (SELECT lang, n, unnest(range(n)) AS draw FROM s) CROSS JOIN (SELECT range AS rep FROM range(1000))),
     m AS (SELECT dr.lang, rep, avg(v) AS metric FROM dr JOIN f ON f.lang = dr.lang AND f.idx = dr.idx GROUP BY 1, 2) SELECT lang, round(quantile_cont(metric, 0.025), 6) AS lower, round(quantile_cont(metric, 0.975), 6) AS upper, count(*) AS n_resamples FROM m GROUP BY 1"""
 )
 def a22_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def a22_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.avg("n_chars").alias("v"))
     parts = cut(parts.withColumn("idx", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1))
     groups = parts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    drawn = T.draws(spark, 200, F.col("n"), groups)
+    drawn = T.draws(spark, 1000, F.col("n"), groups)
     metrics = drawn.join(parts, ["lang", "idx"]).groupBy("lang", "rep").agg(F.avg("v").alias("metric"))
     found = T.percentile_interval(metrics, ["lang"], "metric")
     return found.select("lang", F.round("lower", 6).alias("lower"), F.round("upper", 6).alias("upper"), "n_resamples")
@@ -69,7 +69,7 @@ def w6_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q24_power_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small map of power over families, spread and effect; simulated, so tests hold it within its Monte Carlo error."""
+    """Power over families and effects, with the operator's own numbers of simulations and resamples; simulated, so tests hold it within its Monte Carlo error."""
     cells = [(i, k, 5, 5, auc, 0.35, 0.7) for i, (k, auc) in enumerate((k, auc) for k in (3, 5, 8) for auc in (0.8, 0.9))]
     frame = spark.createDataFrame(cells, "cell int, families int, n_pos int, n_neg int, mean_auc double, tau double, theta double").repartition("cell")
-    return T.power_map(frame, sims=100, boots=400)
+    return T.power_map(frame)

@@ -29,7 +29,7 @@ PUBLIC_DUNDERS = "__init__ __call__ __enter__ __exit__ __iter__ __next__ __len__
 TABLE_NUMBERS, TABLE_CHARACTERS = 16, 64
 
 SCHEMA = (
-    "impl string, path string, kind string, name string, a string, b string, n long, x double, h map<string,int>, items array<string>, "
+    "impl string, path string, pos long, kind string, name string, a string, b string, n long, x double, h map<string,int>, items array<string>, "
     "shape struct<n_pos:int,n_kw:int,n_def:int,va:boolean,kw:boolean,n_ann:int>, depth int, arity int, ret int, loop int, cyc int, tot int"
 )
 _COLUMNS = [f.split()[0] for f in re.sub(r"struct<[^>]*>|map<[^>]*>|array<[^>]*>", "t", SCHEMA).split(", ")]
@@ -241,7 +241,7 @@ def extract(files: DataFrame, language: str = "python") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             for impl, path, text in zip(df["impl"], df["path"], df["text"]):
-                rows = [{"impl": impl, "path": path, **r} for r in rows_of(path, text or "")]
+                rows = [{"impl": impl, "path": path, "pos": i, **r} for i, r in enumerate(rows_of(path, text or ""))]
                 yield pd.DataFrame.from_records(rows, columns=_COLUMNS).astype(object).where(lambda x: x.notna(), None)
 
     return files.select("impl", "path", "text").mapInPandas(run, SCHEMA)
