@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by largest inner product: an inverted file with product-quantised residuals.
 
-Fit: k-means on a sample of at most SAMPLE_ROWS vectors (those of the smallest id hashes) gives coarse centroids; k-means on the residuals' slices gives the
+Fit: k-means on a sample of SAMPLE_ROWS vectors (those of the smallest id hashes), or eight a list, at most 8 x MAX_LISTS, gives coarse centroids; k-means on the residuals' slices gives the
 codebooks. Index: every row belongs to the list of its nearest centroid and has a code of one byte a slice. Search: a query visits the lists of the centroids
 with the largest inner products; in each, a table of inner products with the codebooks (asymmetric distances) ranks the rows, and the first
 RERANK x k are ranked again by the exact inner product in double precision on the original vectors.
@@ -10,11 +10,16 @@ TARGET of the true neighbours. Clustered vectors need few lists; vectors without
 An eighth of the rows, at most the sample, are anchors: a query's k best among them are candidates too, and their worst score bounds its k-th best score from below,
 so rows under it are neither reranked nor returned.
 
-Skew: a list is cut into chunks of rows and its queries into chunks too; a task holds one chunk of each, so neither a hot list nor a popular one
-is gathered. Equal vectors have equal codes; at equal scores smaller ids come first at each step, so ties are exact.
+Work: lists are packed into groups of about ROW_CHUNK rows; a query is sent once to each group that it visits, with the lists that it visits there, and not once a list. Queries are cut into
+chunks of about QUERY_CHUNK; a task holds one group and one chunk. Vectors without structure make every query visit most groups, so that the work grows with queries times rows;
+clustered ones don't.
+
+Skew: a list of more than ROW_CHUNK rows is cut into parts by a hash of the ids, each a group of its own, so neither a hot list nor a popular one is gathered. Equal vectors have equal
+codes; at equal scores smaller ids come first at each step, so ties are exact.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a null id, nor vectors of another length than the most
-frequent one (the longest of those); rows that share an id with the query are not its candidates; fewer than k candidates give fewer rows; an empty table gives no rows; other columns are not read.
+frequent one (the longest of those); rows that share an id with the query are not its candidates; rows of
+equal ids and equal scores for a query are one candidate; fewer than k candidates give fewer rows; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -113,11 +118,11 @@ class Index:
         return np.argsort(-(q.astype(np.float32) @ self.centres.T), axis=1, kind="stable")[:, : self.probe]
 
     def approximate(self, q: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
-        """Inner products of queries with the rows of a list, by tables."""
+        """Inner products of the rows of a list (down) with queries (across), by tables: one of each slice, with a line for each code, whose lines are added up."""
         q = q.astype(np.float32)
-        out = np.repeat((q @ self.centres[of])[:, None], len(codes), axis=1)
+        out = np.repeat((q @ self.centres[of])[None, :], len(codes), axis=0)
         for m, (a, b) in enumerate(zip(self.cuts, self.cuts[1:])):
-            out += (q[:, a:b] @ self.books[m].T)[:, codes[:, m]]
+            out += np.take(self.books[m] @ q[:, a:b].T, codes[:, m], axis=0)
         return out
 
 
@@ -159,9 +164,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kind = rows.schema["v"].dataType.simpleString()
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).toArrow()
+    lists = int(max(1, min(MAX_LISTS, round(count**0.5))))
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(max(SAMPLE_ROWS, 8 * lists)).toArrow()
     ids, sample = sample["id"].to_numpy(), _matrix(sample["v"], dim)
-    index = Index(sample, int(max(1, min(MAX_LISTS, len(sample) // 8, round(count**0.5)))))
+    index = Index(sample, max(1, min(lists, len(sample) // 8)))
     index.tune(ids, sample, k, max(k + 1, min(len(sample), count // 8)))
     n_lists = len(index.centres)
     shared = spark.sparkContext.broadcast(index)  # MAX_LISTS + CODES + SAMPLE_ROWS vectors, at most
@@ -173,15 +179,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
                 flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.shape[1]), len(codes), [None, pa.py_buffer(codes.tobytes())]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), batch.column("id"), batch.column("v"), flat], ["list", "id", "v", "codes"])
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                v, ids = _matrix(batch.column("v"), dim), batch.column("id")
-                lists, bound = shared.value.probes(v), shared.value.anchored(ids.to_numpy(), v, k)[1][:, -1]
-                again = pa.array(np.repeat(np.arange(batch.num_rows), lists.shape[1]))
-                columns = [pa.array(lists.ravel().astype(np.int32)), ids.take(again), batch.column("v").take(again), pa.array(bound).take(again)]
-                yield pa.RecordBatch.from_arrays(columns, ["list", "id", "v", "bound"])
-
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q_ids = batch.column("id").to_numpy()
@@ -192,42 +189,71 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
 
     scratch = Scratch(spark, "ann")
     placed = scratch.write(rows.mapInArrow(place, f"list int, id long, v {kind}, codes binary"), "index")
-    visits = scratch.write(rows.where(is_query).mapInArrow(visit, f"list int, id long, v {kind}, bound double"), "visits")
+    sizes = dict(map(tuple, placed.groupBy("list").count().collect()))  # at most MAX_LISTS rows
+    first, parts, at, held = np.zeros(n_lists, np.int32), np.ones(n_lists, np.int32), 0, 0  # a list's first group, and its groups
+    for i in range(n_lists):
+        n = sizes.get(i, 0)
+        if held and held + n > ROW_CHUNK:
+            at, held = at + 1, 0
+        first[i], held = at, held + n
+        if n > ROW_CHUNK:
+            parts[i] = -(-n // ROW_CHUNK)
+            at, held = at + int(parts[i]), 0
+    queries = rows.where(is_query)
+    chunks = -(-queries.count() // QUERY_CHUNK)
+    groups = spark.createDataFrame([(i, int(first[i]), int(parts[i])) for i in range(n_lists)], "list int, first int, parts int")
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    placed = placed.join(F.broadcast(groups), "list").withColumn("group", F.col("first") + part).drop("first", "parts")
+    placed = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))) if chunks > 1 else placed.withColumn("chunk", F.lit(0))
 
-    def chunks(df: DataFrame, most: int) -> dict[int, int]:
-        return {r["list"]: -(-r["count"] // most) for r in df.groupBy("list").count().collect()}  # n_lists rows
-
-    row_chunks, query_chunks = chunks(placed, ROW_CHUNK), chunks(visits, QUERY_CHUNK)
-    if max(row_chunks.values(), default=1) == 1 and max(query_chunks.values(), default=1) == 1:
-        placed, visits = (x.withColumn("rc", F.lit(0)).withColumn("qc", F.lit(0)) for x in (placed, visits))
-    else:
-        counts = spark.createDataFrame([(i, row_chunks.get(i, 1), query_chunks.get(i, 1)) for i in range(n_lists)], "list int, rcs int, qcs int")
-        mine, every = (lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-        placed = placed.join(F.broadcast(counts), "list").withColumn("rc", mine("rcs")).withColumn("qc", every("qcs")).drop("rcs", "qcs")
-        visits = visits.join(F.broadcast(counts), "list").withColumn("qc", mine("qcs")).withColumn("rc", every("rcs")).drop("rcs", "qcs")
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each query and group that it visits, with its lists there."""
+        for batch in batches:
+            if batch.num_rows:
+                v, ids = _matrix(batch.column("v"), dim), batch.column("id")
+                bound = pa.array(shared.value.anchored(ids.to_numpy(), v, k)[1][:, -1])
+                to: dict[tuple[int, int], list[int]] = {}
+                for q, lists in enumerate(shared.value.probes(v).tolist()):
+                    for i in lists:
+                        for g in range(first[i], first[i] + parts[i]):
+                            to.setdefault((q, g), []).append(i)
+                again = pa.array([q for q, _ in to], pa.int64())
+                columns = [pa.array([g for _, g in to], pa.int32()), ids.take(again), batch.column("v").take(again), bound.take(again), pa.array(list(to.values()), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["group", "id", "v", "bound", "lists"])
+
+    visits = queries.mapInArrow(visit, f"group int, id long, v {kind}, bound double, lists array<int>").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
 
     def meet(key: tuple, queries: pa.Table, part: pa.Table) -> pa.Table:
-        out = []
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if queries.num_rows and part.num_rows:
-            part = part.sort_by("id")
-            ids, v, q_ids, q_v = part["id"].to_numpy(), _matrix(part["v"], dim), queries["id"].to_numpy(), _matrix(queries["v"], dim)
-            bound = queries["bound"].to_numpy()
+            part = part.sort_by([("list", "ascending"), ("id", "ascending")])
+            ids, v, of = part["id"].to_numpy(), _matrix(part["v"], dim), part["list"].to_numpy()
             codes = np.frombuffer(b"".join(part["codes"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            for at in range(0, len(q_ids), _BLOCK):
-                near = shared.value.approximate(q_v[at : at + _BLOCK], key[0].as_py(), codes)
-                q, r = np.nonzero(near >= (bound[at : at + _BLOCK] - shared.value.slack)[:, None])
-                q, r = _first(q, r, near[q, r], RERANK * k + 1)
-                s = np.concatenate([exact(q_v[at + q[i : i + 4096]], v[r[i : i + 4096]]) for i in range(0, len(q), 4096)] or [np.zeros(0)])
-                fit = (s >= bound[at + q]) & (ids[r] != q_ids[at + q])
-                q, r, s = q[fit], r[fit], s[fit]
-                score = dict(zip(zip(q.tolist(), r.tolist()), s.tolist()))
-                q, r = _first(q, r, s, k)
-                out.append((q_ids[at + q], ids[r], np.array([score[x] for x in zip(q.tolist(), r.tolist())])))
-        cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), cols)))
-
-    cell = ("list", "rc", "qc")
+            q_ids, q_v, bound = queries["id"].to_numpy(), _matrix(queries["v"], dim), queries["bound"].to_numpy()
+            asked = queries["lists"].combine_chunks()
+            whose = np.repeat(np.arange(len(q_ids)), np.diff(asked.offsets.to_numpy()))
+            asked = asked.flatten().to_numpy()
+            for i in np.unique(of).tolist():
+                low, high = np.searchsorted(of, [i, i + 1])
+                every = whose[asked == i]
+                for at in range(0, len(every), _BLOCK):
+                    some = every[at : at + _BLOCK]
+                    near = shared.value.approximate(q_v[some], i, codes[low:high])
+                    r, q = np.nonzero(near >= (bound[some] - shared.value.slack)[None, :].astype(np.float32))
+                    q, r = _first(q, r, near[r, q], RERANK * k + 1)
+                    s = np.concatenate([exact(q_v[some[q[x : x + 4096]]], v[low + r[x : x + 4096]]) for x in range(0, len(q), 4096)] or [np.zeros(0)])
+                    fit = (s >= bound[some[q]]) & (ids[low + r] != q_ids[some[q]])
+                    out.append((some[q[fit]], low + r[fit], s[fit]))
+        q, r, s = (np.concatenate(x) for x in zip(*out))
+        if len(q):  # the best of the group
+            order = np.lexsort((ids[r], -s, q))
+            q, r, s = q[order], r[order], s[order]
+            inside = np.arange(len(q)) - np.searchsorted(q, q, side="left") < k
+            q, r, s = q_ids[q[inside]], ids[r[inside]], s[inside]
+        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(r, pa.int64()), "score": pa.array(s, pa.float64())})
+
+    cell = ("group", "chunk")
     found = visits.groupBy(*cell).cogroup(placed.groupBy(*cell)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    found = found.unionByName(rows.where(is_query).mapInArrow(anchor, "query_id long, vec_id long, score double")).distinct()
+    found = found.unionByName(queries.mapInArrow(anchor, "query_id long, vec_id long, score double")).distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

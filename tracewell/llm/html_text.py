@@ -1,19 +1,23 @@
 """The main text of web pages, by composite text density (Sun et al., 2011).
 
 A page becomes a tree of its block elements; inline elements belong to their block's text. Elements that are never article text (NEVER, hidden ones, and those whose role, or a
-class or id of theirs, names a menu, header, footer, sidebar, notice, advert, form or comment) are left out first. For each other node the composite density is
+whole class or id of theirs, names a menu, header, footer, sidebar, notice, advert, form or comment) are left out first. For each other node the composite density is
 
     C/T * log_b(C/LC * T/LT)    with b = ln(C/NC * LC + LCb/Cb * C + e)
 
 with C its characters, T its block tags, LC and LT the characters and number of its links, NC its characters outside links, and LCb, Cb those of the body; zeros count as
-one. The node with the largest sum of its children's densities is the core. Its article is the closest article or main element around it, else the closest
-element around it whose class or id names content, and such elements right around that; then all blocks in it are the text. Without any, the threshold is the smallest density on the path
-from the core to the body, and every subtree of at least that density (and more than none) gives its own core too.
+one. The node with the largest sum of its children's densities is the core; the threshold is the smallest density on the path from the core to the body. Every other node of at
+least that density (and more than none) is article too, and the text is the smallest subtree that holds them all. Three rules make it whole:
+
+- Where the core is inside an article or main element, only nodes in the closest one count, and the subtree grows to that element: headings and short lines have little density.
+- Else, where the smallest subtree is the whole body, each such node gives its own subtree of the largest sum, the text of those that hold none but it.
+- The body is the subtree if it is the core.
 
 Text: character references decoded, white space inside a block turned into one space, trimmed, blocks joined by a blank line in page order.
 
-Cases: null html is empty; a page without text gives an empty text; unclosed and misnested tags close as their parents do; markup that never ends is text up to its first
-`<`; nesting may be of any depth; rows are independent, so equal rows, ties and null ids each come out; an empty table gives no rows.
+Cases: null html is empty; a page without text gives an empty text; unclosed and misnested tags close as their parents do; a tag that never ends, and what follows, is no text, as in
+browsers; very long and very deep pages take time in proportion to their length; equal densities go to the later node in page order; rows are independent, so equal rows and null ids
+each come out; an empty table gives no rows; all other columns stay, whatever their names, but one of the text's name is replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,17 +46,31 @@ RAW = frozenset("script style noscript template textarea title iframe xmp noembe
 _BLOCK_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "option": ("option",)}
 _SCOPE = frozenset("table ul ol dl article section div main body html".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
+#: Whole names of what is left out, whatever the element.
 NAMES = frozenset(
-    """ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus menubar
-    breadcrumb breadcrumbs header masthead topbar footer sidebar sidebars aside comment comments commentlist disqus reply replies respond responses discussion cookie cookies
-    consent gdpr feedback topnav sidenav subnav leftnav rightnav mainnav topmenu sidemenu submenu mainmenu notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup login paywall share sharing
-    social related recommended recommendations trending widget widgets toolbar pagination pager banner banners form search hidden skip""".split()
+    """ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promos promotion nav navbar navigation menubar breadcrumb breadcrumbs
+    masthead topbar footer sidebar sidebars comment comments commentlist disqus cookie cookies consent gdpr topnav sidenav subnav leftnav rightnav mainnav topmenu sidemenu submenu
+    mainmenu popup modal overlay newsletter paywall pagination pager""".split()
+)
+#: Names that say so of a box, but not of a paragraph, heading or item, which may treat of such things.
+BOX_NAMES = frozenset(
+    """menu menus header aside reply replies respond responses discussion feedback notice notices notification notifications alert alerts subscribe subscription signup login share sharing
+    social related recommended recommendations trending widget widgets toolbar banner banners form search hidden skip""".split()
+)
+BOXES = frozenset("div section ul ol dl table article details center fieldset".split())
+#: Words that may stand beside one of those names in a name of several words, which is otherwise about something else.
+BESIDE = frozenset(
+    """main left right top bottom site page global primary secondary sub user users reader readers box block wrapper wrap container inner outer list area bar panel sticky floating fixed mobile
+    desktop links link buttons button module slot unit strip zone skyscraper leaderboard posts js""".split()
 )
+#: Words that may stand beside one of NAMES alone: the comments of an article are none of it, its header is.
+ABOUT = frozenset("post entry article blog story content".split())
 #: Ends of words that name the same in one word.
 ENDS = ("sidebar", "navbar", "footer", "masthead", "breadcrumbs", "comments", "advert", "adverts")
-CONTENT = frozenset("content article post entry story main text body".split())
-_TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: What stands in a tag after its name; quotes count after an equals sign.
+_INSIDE = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+""")
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
@@ -71,21 +90,25 @@ def _left_out(tag: str, found: dict[str, str], names: list[list[str]]) -> bool:
         return True
     if found.get("role", "").lower() in ROLES:
         return True
-    left = lambda x: x in NAMES or len(x) > 6 and x.endswith(ENDS)
-    return any(p and p[0] not in ("has", "with", "no", "without", "is") and (left(p[0]) or left(p[-1])) for p in names)
+    left = lambda x: x in NAMES or (x in BOX_NAMES and tag in BOXES) or len(x) > 6 and x.endswith(ENDS)
+    near = lambda p: BESIDE | BOX_NAMES | (ABOUT if NAMES.intersection(p) else frozenset())
+    return any(any(map(left, p)) and all(left(x) or x in near(p) for x in p) for p in names)
 
 
 class Page:
-    """A page's block tree: for node n its tag, parent and whether its names say content; and the blocks of text with their node."""
+    """A page's block tree: for node n its tag and parent; and the blocks of text with their node. One pass over the source."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.content = ["body"], [-1], [False]
+        self.tag, self.parent = ["body"], [-1]
         self.blocks: list[tuple[int, str, int, int]] = []  # node, text, characters in links, links
         at_node, out = 0, 0  # the open node; how many elements that are left out are open around it
         stack: list[tuple[str, int, bool]] = []  # open block elements: tag, node around them, left out
+        open_: Counter[str] = Counter()  # their tags; and those since each open element of _SCOPE
+        scopes: list[Counter[str]] = [Counter()]
         text: list[tuple[str, bool]] = []
         link = False
         links = 0
+        skip, skip_tag = 0, ""  # open elements of the tag of a left out run inside a line
 
         def close_block() -> None:
             nonlocal links
@@ -98,67 +121,89 @@ class Page:
             links = 0
 
         def pop() -> None:
-            nonlocal at_node, out, link
+            nonlocal at_node, out, link, skip
             close_block()
-            _, at_node, left = stack.pop()
+            tag, at_node, left = stack.pop()
+            open_[tag] -= 1
+            if tag in _SCOPE:
+                scopes.pop()
+            scopes[-1][tag] -= 1
             out -= left
-            link = False
-
-        def end(tags: tuple[str, ...], scope: frozenset = _SCOPE) -> None:
-            """Close the closest open element of these tags, and what is open in it; else the block alone."""
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in tags:
-                    while len(stack) > i:
-                        pop()
-                    return
-                if stack[i][0] in scope:
-                    break
-            close_block()
+            link, skip = False, 0
+
+        def end(tags: tuple[str, ...], counts: Counter[str]) -> None:
+            """Close the closest open element of these tags, if there is one among those counted, and what is open in it; else the block alone."""
+            if not any(counts[t] for t in tags):
+                close_block()
+                return
+            while stack[-1][0] not in tags:
+                pop()
+            pop()
 
         at, size = 0, len(source)
         while at < size:
-            m = _TOKEN.search(source, at)
-            stop = m.start() if m else size
-            if stop > at and not out:
+            start = source.find("<", at)
+            stop = size if start < 0 else start
+            if stop > at and not out and not skip:
                 text.append((source[at:stop], link))
-            if not m:
+            if start < 0:
                 break
-            at = m.end()
-            tag = (m[2] or m[5] or "").lower()
-            if not tag:
+            closing = source.startswith("/", start + 1)
+            m = _NAME.match(source, start + 1 + closing)
+            if not m:
+                mark = next((x for x in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">"), ("</", ">")) if source.startswith(x[0], start)), None)
+                if mark is None:  # a lone sign
+                    if not out and not skip:
+                        text.append(("<", link))
+                    at = start + 1
+                else:
+                    at = source.find(mark[1], start + len(mark[0])) + len(mark[1])
+                    at = at if at >= len(mark[1]) else size
                 continue
-            closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+            tag = m[0].lower()
+            inside = _INSIDE.match(source, m.end())
+            if inside.end() >= size or source[inside.end()] != ">":
+                break  # a tag that never ends
+            at, attributes = inside.end() + 1, inside[0]
             if tag == "br":
-                text.append((" ", link))
-            elif tag == "a":
+                if not skip:
+                    text.append((" ", link))
+            elif skip and tag == skip_tag:
+                skip += -1 if closing else 1
+            elif tag == "a" and not skip:
                 link = not closing
                 links += link
+                if link and attributes and not out and _left_out(tag, *_names(attributes)):
+                    skip, skip_tag, link = 1, tag, False
             elif tag in INLINE or tag in ("html", "body"):
-                if not closing and tag not in VOID and tag not in ("html", "body") and attributes and not out and _left_out(tag, *_names(attributes)):
-                    finish = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)  # a hidden or labelled run of text
-                    at = finish.end() if finish else at
+                if not skip and not closing and tag not in VOID and tag not in ("html", "body") and attributes and not out and _left_out(tag, *_names(attributes)):
+                    skip, skip_tag = 1, tag  # a hidden or labelled run of text, up to its end or that of its block
             elif closing:
-                end((tag,), frozenset())
+                end((tag,), open_)
             elif tag in RAW:
-                finish = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-                if not attributes.endswith("/"):
-                    at = finish.end() if finish else size
+                if tag != "svg" or not attributes.endswith("/"):  # a slash closes nothing in HTML, but in drawings
+                    finish = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
+                    at = source.find(">", finish.end()) + 1 if finish else size
+                    at = at or size
             else:
                 if stack and stack[-1][0] == "p":
                     pop()
                 if tag in _BLOCK_ENDS:
-                    end(_BLOCK_ENDS[tag])
+                    end(_BLOCK_ENDS[tag], scopes[-1])
                 close_block()
                 if tag in VOID:
                     continue
-                found, names = _names(attributes) if attributes else ({}, [])
-                left = _left_out(tag, found, names)
+                left = _left_out(tag, *(_names(attributes) if attributes else ({}, [])))
                 stack.append((tag, at_node, left))
+                open_[tag] += 1
+                scopes[-1][tag] += 1
+                if tag in _SCOPE:
+                    scopes.append(Counter())
                 out += left
+                skip = 0
                 if not out:
                     self.tag.append(tag)
                     self.parent.append(at_node)
-                    self.content.append(any(p and p[-1] in CONTENT for p in names))
                     at_node = len(self.tag) - 1
         while stack:
             pop()
@@ -198,25 +243,34 @@ class Page:
         around = [core]
         while around[-1]:
             around.append(self.parent[around[-1]])
-        chosen = [next((i for i in around if self.tag[i] == "article"), None)]
-        if chosen[0] is None:
-            chosen = [next((i for i in around if self.tag[i] == "main" or self.content[i]), None)]
-            while chosen[0] and self.parent[chosen[0]] > 0 and self.content[self.parent[chosen[0]]]:
-                chosen = [self.parent[chosen[0]]]
-        inside = [False] * n
-        if chosen[0] is not None:
-            inside[chosen[0]] = True
+        path = set(around)
+        least = min(own[i] for i in around)
+        marked = next((i for i in around if self.tag[i] in ("article", "main")), 0)
+        within = [False] * n  # nodes in the marked element, or in the body
+        within[marked] = True
+        for i in range(marked + 1, n):
+            within[i] = within[self.parent[i]]
+        dense = [i for i in range(n) if within[i] and i not in path and own[i] >= least and own[i] > 0]
+        if marked or not core:
+            chosen = [marked]
         else:
-            least = min(own[i] for i in around)
-            best = list(range(n))  # the core of each subtree
+            holds = [0] * n  # how many of the core and the dense nodes each subtree holds
+            for i in (core, *dense):
+                holds[i] += 1
             for i in range(n - 1, 0, -1):
-                p = self.parent[i]
-                if total[best[i]] > total[best[p]]:
-                    best[p] = best[i]
-            for i in range(n):
-                if own[i] >= least and own[i] > 0 and i not in around:
-                    inside[best[i]] = True
-            inside[core] = True
+                holds[self.parent[i]] += holds[i]
+            smallest = next(i for i in around if holds[i] == len(dense) + 1)
+            chosen = [smallest]
+            if not smallest:
+                best = list(range(n))  # the node of the largest sum in each subtree
+                for i in range(n - 1, 0, -1):
+                    p = self.parent[i]
+                    if total[best[i]] > total[best[p]]:
+                        best[p] = best[i]
+                chosen = [core, *(best[i] for i in dense)]
+        inside = [False] * n
+        for i in chosen:
+            inside[i] = True
         for i in range(1, n):
             inside[i] |= inside[self.parent[i]]
         return "\n\n".join(words for node, words, _, _ in self.blocks if inside[node])
