@@ -11,7 +11,8 @@ pseudo-rows, and a host's towards its domain's; a row's own part is taken out fi
 Only evidence (a few numbers a row) is shuffled, never texts; sums by host are added up before the shuffle, and the join that brings them back has one row a host, so a hot host may be split.
 
 Cases: null or empty text has no text evidence, so the other evidence decides; null or empty declarations and addresses are evidence of their own (a missing one); without any
-training rows every row is UNKNOWN; equal posteriors go to the first language by name; null ids and equal rows each come out; an empty table gives no rows.
+training rows every row is UNKNOWN; equal posteriors go to the first language by name; null ids and equal rows each come out; very long texts are read whole, a slice each; an empty table gives no rows;
+only the named columns are read, so that others may have any name.
 """
 
 from __future__ import annotations

@@ -26,39 +26,6 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(spark, path)
 
 
-def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_copies(table(spark, sf_dir, "documents"), bits=4, shingle=4)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
-
-
-def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return found.withColumn("n_chars", F.length("text").cast("long"))
-
-
-def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text model is learnt from documents; hosts, declarations and addresses are those of the pages."""
-    model = language.fit(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
-    found = language.fuse(language.page_evidence(table(spark, sf_dir, "pages"), model), model.languages, Scratch(spark, "language"))
-    return found.withColumnRenamed("key", "page_id").withColumn("posterior", F.round("posterior", 6))
-
-
-def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encodes every text and decodes its ids: their number, their crc32 (as text, joined by spaces), and whether the text came back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
-    coded = sentencepiece.encode(docs, vocabulary("piece_bpe_32k.model"), same="same_text")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"), "n_chars", "same_text")
-
-
-def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_copies(table(spark, sf_dir, "documents"), bits=4, shingle=4)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -76,7 +43,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encodes every text, decodes the ids, and compares: ids' number, their crc32 (as text, joined by spaces), and whether the text came back."""
+    """Encodes every text, decodes the ids and compares the texts: the ids' number, their crc32 (as text, joined by spaces), and whether the text came back."""
     path = vocabulary("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     coded = sentencepiece.encode(docs.withColumn("text_sha256", F.sha2("text", 256)), path)
@@ -84,6 +51,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"), F.length("text").cast("long").alias("n_chars"), (F.sha2("text", 256) == F.col("text_sha256")).alias("same_text"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_copies(table(spark, sf_dir, "documents"), bits=4, shingle=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 #: A conversation whose texts hold what other templates use as marks.
 MARKS = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
 

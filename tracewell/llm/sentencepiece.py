@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding: a unigram Viterbi search over a double-array trie of pieces.
 
-Pieces and their log scores come as they are from a model file. A text gets one space in front; every space is written as the marker U+2581
+Pieces and their scores come as they are from a model file, and the search adds them up. Those of a unigram model are log probabilities; those of a merge model such as the public
+piece_bpe_32k are the negative ranks of its merges, so that the best path has the pieces of the earliest merges, and few of them. A text gets one space in front; every space is written as the marker U+2581
 in pieces. The encoding is the sequence of pieces with the largest sum of scores; at equal sums the earlier last piece boundary wins, so longer pieces do. A character without a
 piece of its own costs the smallest score less 10, and is written as one byte piece for each UTF-8 byte (the unknown id if the model has none).
 Decoding joins pieces, bytes as UTF-8 (malformed: U+FFFD), turns markers into spaces and drops the one in front. A marker in the text itself
@@ -10,7 +11,8 @@ No piece has a marker after another character (checked), so a best path has a bo
 apart: a worker codes each distinct word once, in lockstep with other words of the batch.
 
 Cases: null text encodes and decodes to null; an empty text has no ids; very long words are coded in linear time and memory; unknown ids below zero
-or past the vocabulary decode as nothing, null ids too; control ids decode as nothing.
+or past the vocabulary decode as nothing, null ids too; control ids decode as nothing; very long texts are coded whole, a slice each; equal rows each come out; an empty table gives
+no rows; all other columns stay, whatever their names, but those of the results' names are replaced.
 """
 
 from __future__ import annotations
