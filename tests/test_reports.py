@@ -60,6 +60,43 @@ def test_match_rollup(spark):
     assert M.match_rollup(matched.limit(0), 1, 1)["similarity"] == 0.0
 
 
+def test_signals_of_two_folders(spark, tmp_path):
+    import ast
+    from collections import Counter
+
+    from tracewell.plans import code_queries, pair
+    from tracewell.sources import python_code
+
+    for side, files in (("a", code_queries.OLD), ("b", code_queries.NEW)):
+        for path, text in files.items():
+            (tmp_path / side / path).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / side / path).write_text(text)
+        (tmp_path / side / "tests").mkdir()
+        (tmp_path / side / "tests" / "test_x.py").write_text("import left_out\n")
+    rows = {r.contract: r for r in pair.signals(spark, f"{tmp_path}/a", f"{tmp_path}/b").collect()}
+    assert list(rows) == ["AUX1", "C06a", "C06a'", "C06b", "C06c", "C06d", "C06f"]
+    # util.py alone is the same in both
+    assert rows["AUX1"].actual == "matches=1 files_a=4 files_b=3" and rows["AUX1"].verdict == "FAIL"
+    assert rows["C06b"].actual == "jaccard=0.000 shared=0" and rows["C06b"].evidence == "a: numpy; b: requests"
+
+    def control(files):
+        out = Counter()
+        for text in files.values():
+            try:
+                out.update(type(n).__name__ for n in ast.walk(ast.parse(text)) if type(n).__name__ in python_code.CONTROL)
+            except SyntaxError:
+                pass
+        return out
+
+    x, y = control(code_queries.OLD), control(code_queries.NEW)
+    cosine = sum(x[k] * y[k] for k in x) / (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+    assert rows["C06c"].actual == f"cosine={cosine:.3f} total_a={x.total()} total_b={y.total()}"
+    top = sorted(set(x) | set(y), key=lambda k: (-(x[k] + y[k]), k))[:6]
+    assert rows["C06c"].evidence == "; ".join(f"{k}: a={x[k]} b={y[k]}" for k in top)
+    assert rows["C06d"].actual.startswith("shared=2 ") and "symbol load=renamed_args" in rows["C06d"].evidence
+    assert "matched_pairs=7 " in rows["C06f"].actual and rows["C06a"].evidence.count("differ=") == 8 and rows["C06a'"].evidence.count("round ") == 5
+
+
 def test_every_source_is_matched_with_the_next_both_ways(spark):
     rows = match_queries.descriptors(spark, "/root/testdata/sf0.001")
     names = sorted(r.source for r in rows.select("source").distinct().collect() if r.source is not None)

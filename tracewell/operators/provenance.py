@@ -34,7 +34,8 @@ def residual(features: DataFrame, pairs: DataFrame, api: DataFrame | None = None
     ordered = pairs.select("a", "b", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
     out = sides.join(ordered, ["lo", "hi"]).select("a", "b", "kind", "feature")
     if api is not None:
-        dictated = pairs.join(api, (F.col("impl") == F.col("a")) | (F.col("impl") == F.col("b"))).select("a", "b", "feature").distinct()
+        of = lambda x: pairs.join(api, F.col("impl") == F.col(x)).select("a", "b", "feature")
+        dictated = of("a").union(of("b")).distinct()
         out = out.join(dictated, ["a", "b", "feature"], "left_anti").select("a", "b", "kind", "feature")
     return out
 

@@ -14,6 +14,7 @@ from tracewell.operators import matching as M
 from tracewell.operators import provenance as P
 from tracewell.operators import similarity as S
 from tracewell.operators import statistics as T
+from tracewell.operators.lineage import cut
 from tracewell.plans.registry import query
 from tracewell.sources import python_code as C
 from tracewell.sources import trees
@@ -181,7 +182,7 @@ def x8_stream_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def x9_x12_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of data tables; Jaccard of floats, messages and imports (two empty sets are alike)."""
-    found = features(spark).persist()
+    found = cut(features(spark))
     texts = C.view(found, "string").where(is_message(F.col("name"))).withColumn("name", message(F.col("name")))
     sets = {"float": _set(C.view(found, "float"), "x"), "message": _set(texts), "import": _set(C.view(found, "import").where("name <> 'pack'"))}
     sides = found.select(F.col("impl").alias("side"))
@@ -194,7 +195,7 @@ def x9_x12_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def x14_x17_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaccard of identifiers, distinctive ones, docstring and comment words, and public names."""
-    found = features(spark).persist()
+    found = cut(features(spark))
     sides = found.select(F.col("impl").alias("side"))
     idents = _set(C.view(found, "ident"))
     text_words = lambda kind: _set(C.view(found, kind).select("impl", F.explode(F.regexp_extract_all(F.lower("name"), F.lit("([a-z]{4,})"), 1)).alias("name")).where(~F.col("name").isin(QUIRK_STOP)))
@@ -223,7 +224,7 @@ def q4_import_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def x18_x22_interfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of exported symbols and, by class, of public methods."""
-    found = C.interfaces(sources(spark).withColumn("package", F.lit("pack"))).persist()
+    found = cut(C.interfaces(sources(spark).withColumn("package", F.lit("pack"))))
     symbols = [C.view(found, "symbol").where(F.col("impl") == i).select("method", F.col("sig").alias(x)) for i, x in (("old", "sa"), ("new", "sb"))]
     shared = symbols[0].join(symbols[1], "method").select(F.lit("symbol").alias("kind"), F.col("method").alias("name"), P.signature_verdict(F.col("sa"), F.col("sb"), C.SIGNATURE_SHAPE).alias("verdict"))
     methods = [C.view(found, "method").where(F.col("impl") == i).select("cls", "method", "d") for i in ("old", "new")]
@@ -240,18 +241,21 @@ def x23_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.verdict(M.strict_best(a, b)).select("id_a", "id_b", F.round("cosine", 9).alias("cosine"), "verdict", "band")
 
 
-@query()
-def j3_function_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One-to-one matches of functions of equal signature shape and fan-in and fan-out buckets, nearest first."""
-    found = features(spark).persist()
+def function_matches(found: DataFrame, first: str, second: str) -> DataFrame:
+    """One-to-one matches of functions of equal signature shape and fan-in and fan-out buckets, nearest first: (pair, i, j, distance)."""
     degrees = G.degrees(*call_graph(found)).select(F.col("g").alias("impl"), F.col("id").alias("name"), "n_in", "n_out")
     f = C.view(found, "shape").join(degrees, ["impl", "name"], "left")
     bucket = lambda c: degree_bucket(F.coalesce(c, F.lit(0)))
     f = f.select("impl", F.concat_ws(":", "path", "name").alias("id"), F.struct("shape", bucket("n_in").alias("fi"), bucket("n_out").alias("fo")).alias("key"), "h", "depth", "n")
-    a, b = (f.where(F.col("impl") == i).select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "h", "depth", "n"))) for i, x in (("old", "a"), ("new", "b")))
+    a, b = (f.where(F.col("impl") == i).select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "h", "depth", "n"))) for i, x in ((first, "a"), (second, "b")))
     distance = pair_distance(map_cosine(F.col("h_a"), F.col("h_b")), F.col("depth_a"), F.col("depth_b"), F.col("n_a"), F.col("n_b"))
-    candidates = a.join(b, "key").select(F.lit("old>new").alias("pair"), F.col("id_a").alias("i"), F.col("id_b").alias("j"), distance.alias("distance"))
-    return M.mutual_greedy(candidates).withColumn("distance", F.round("distance", 9))
+    candidates = a.join(b, "key").select(F.lit(f"{first}>{second}").alias("pair"), F.col("id_a").alias("i"), F.col("id_b").alias("j"), distance.alias("distance"))
+    return M.mutual_greedy(candidates)
+
+
+@query()
+def j3_function_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return function_matches(cut(features(spark)), "old", "new").withColumn("distance", F.round("distance", 9))
 
 
 @query()
@@ -271,7 +275,7 @@ def s9_hard_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def measures(spark: SparkSession) -> DataFrame:
     """(a, b, label, measure, value): every static measure of every pair of implementations, as rows."""
-    found = features(spark, True).persist()
+    found = cut(features(spark, True))
     sides = found.select(F.col("impl").alias("side")).distinct()
     view = lambda k: C.view(found, k)
     counted = lambda k: view(k).groupBy(F.col("impl").alias("side"), F.col("name").alias("key")).agg(F.sum("n").alias("cnt"))
@@ -323,9 +327,9 @@ def q14_measure_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q20_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile intervals of four signals over resampled files (and matches) of the two packages."""
-    found = features(spark).withColumn("side", F.when(F.col("impl") == "old", "a").otherwise("b")).persist()
+    found = cut(features(spark)).withColumn("side", F.when(F.col("impl") == "old", "a").otherwise("b"))
     paths = [sorted(p for p in files if not p.startswith("broken")) for files in (OLD, NEW)]
-    drawn = BS.resamples(spark, *paths).persist()
+    drawn = cut(BS.resamples(spark, *paths))
     control = C.view(found, "control").select("side", "path", F.col("name").alias("key"), F.col("n").alias("cnt"))
     graph = C.view(found, "call_fn").select("side", "path", F.col("name").alias("id")), C.view(found, "call_edge").select("side", "path", F.col("a").alias("src"), F.col("b").alias("dst"))
     numbered = j3_function_matches(spark, sf_dir).select((F.row_number().over(Window.partitionBy("pair").orderBy("i", "j")) - 1).alias("idx"), "distance")

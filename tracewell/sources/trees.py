@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import random
 from collections.abc import Iterator
 
@@ -23,12 +24,33 @@ ADVERSARIAL = [
 ]
 
 
+def _hidden(path: str) -> bool:
+    """Whether Spark's own readers pass over a file: a part of its path begins with a dot or an underscore, as that of __init__.py does."""
+    return any(p.startswith(".") or (p.startswith("_") and "=" not in p and not p.startswith(("_metadata", "_common_metadata"))) for p in path.split("/"))
+
+
 def files(spark: SparkSession, root: str, impl: str, glob: str = "*.py") -> DataFrame:
-    """(impl, path, content, text) below a root; path is relative, text decoded as UTF-8 with replacement. The name filter is applied while listing."""
+    """(impl, path, content, text) below a root; path is relative, text decoded as UTF-8 with replacement. The name filter is applied while listing.
+
+    Files that Spark's readers pass over (a package's __init__.py and other names that begin with an underscore or a dot) are read by the driver, through the file system of the
+    root: they are a small part of a source tree.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     base = root.rstrip("/").split("://")[-1].lstrip("/")
-    path = F.regexp_replace(F.col("path"), rf"^.*?\Q{base}\E/", "")
-    return found.select(F.lit(impl).alias("impl"), path.alias("path"), "content", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    found = found.select(F.regexp_replace(F.col("path"), rf"^.*?\Q{base}\E/", "").alias("path"), "content")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = fs.getFileStatus(folder).getPath().toString().rstrip("/") + "/"
+    listing, rows = fs.listFiles(folder, True), []
+    while listing.hasNext():
+        at = listing.next().getPath()
+        path = at.toString().removeprefix(top)
+        if _hidden(path) and fnmatch.fnmatch(at.getName(), glob):
+            stream = fs.open(at)
+            rows.append((path, bytearray(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+            stream.close()
+    found = found.unionByName(spark.createDataFrame(rows, "path string, content binary"))
+    return found.select(F.lit(impl).alias("impl"), "path", "content", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def in_repo_scope(path: Column) -> Column:
