@@ -79,3 +79,15 @@ def test_extra_columns_stay(spark):
     for name, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, docs, SF).columns == docs.columns, name
     assert quality.THRESHOLD == 0.3
+
+
+def test_copies_of_rows_without_or_with_equal_ids(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    one, two, three, long = text(), text(), text(), " ".join(f"x{i}" for i in range(60_000))
+    rows = [(7, one), (7, two), (7, two), (None, one), (None, three), (None, three), (3, two), (9, long), (8, long + " end"), (1, ""), (2, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted([(7, one), (None, three), (3, two), (8, long + " end"), (1, ""), (2, None)], key=str)
+    for parts in (1, 5):
+        kept = corpus_pipeline.keep_first_copies(spark, docs.repartition(parts), SF)
+        assert kept.columns == docs.columns and sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == want
