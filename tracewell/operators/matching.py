@@ -87,25 +87,46 @@ def null_panel(verdicts: DataFrame) -> DataFrame:
     return share.groupBy(F.col("pair.source").alias("source")).agg(F.avg("share").alias("mean"), F.max("share").alias("largest"))
 
 
-def mutual_greedy(candidates: DataFrame) -> DataFrame:
-    """Greedy one-to-one matches: (pair, i, j, distance), taken in ascending (distance, i, j), each i and j of a pair once.
+#: So many candidates, counted, may be finished pair by pair in the sequential order, each pair in one task.
+TAIL_ROWS = 200_000
+
+
+def _one_by_one(candidates: DataFrame) -> DataFrame:
+    """The sequential rule: a pair's candidates in order, each taken if its i and j are free."""
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        seen_i, seen_j, keep = set(), set(), []
+        df = df.sort_values(["distance", "i", "j"])
+        for i, j in zip(df["i"], df["j"]):
+            free = i not in seen_i and j not in seen_j
+            keep.append(free)
+            if free:
+                seen_i.add(i)
+                seen_j.add(j)
+        return df[keep]
+
+    return candidates.groupBy("pair").applyInPandas(run, candidates.schema)
+
+
+def mutual_greedy(candidates: DataFrame, tail_rows: int = TAIL_ROWS) -> DataFrame:
+    """Greedy one-to-one matches: (pair, i, j, distance), taken in ascending (distance, i, j), each i and j of a pair once; rows with a null in these take no part.
 
     Candidates are in total order, so every one that is the first of both its i and its j would be taken by the sequential rule too. A round takes all of those at
-    once and drops what they touch; there are about as many rounds as the longest chain of candidates that wait for each other. No bucket is gathered in a task.
+    once and drops what they touch, until tail_rows or fewer are left, which the sequential rule finishes: the result is the same for every tail_rows, and no task gets more rows than that.
     """
     from tracewell.operators.lineage import cut
 
     order = F.struct("distance", "i", "j")
-    left, out = cut(candidates.select("pair", "i", "j", "distance")), None
-    while True:  # a round takes the first candidate of each pair at least
+    left, out = cut(candidates.select("pair", "i", "j", "distance").na.drop()), None
+    while (n := left.count()) > tail_rows:  # a round takes the first candidate of each pair at least
         first_i = left.groupBy("pair", "i").agg(F.min(order).alias("fi"))
         first_j = left.groupBy("pair", "j").agg(F.min(order).alias("fj"))
         taken = left.join(first_i, ["pair", "i"]).join(first_j, ["pair", "j"]).where((F.col("fi") == order) & (F.col("fj") == order)).select("pair", "i", "j", "distance")
         taken = cut(taken)
         out = taken if out is None else out.unionByName(taken)
         left = cut(left.join(taken.select("pair", "i"), ["pair", "i"], "left_anti").join(taken.select("pair", "j"), ["pair", "j"], "left_anti"))
-        if left.isEmpty():
-            return out
+    rest = _one_by_one(left) if n else left
+    return rest if out is None else out.unionByName(rest)
 
 
 def in_order_greedy(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:

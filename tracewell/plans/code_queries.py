@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -266,9 +267,19 @@ def x24_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "impl string, name string, skeleton array<string>")
 
 
-@query()
+_HARD_TEXTS = [(1, "Größe und Maß über Straßen"), (2, "Съешь ещё этих мягких булок"), (3, "いろはにほへと ちりぬるを"), (4, "plain ascii text")]
+
+
+def _hard_sql() -> str:
+    """The workload by a plain loop, as values: SQL has no codecs."""
+    cuts = {t.encode(c, "ignore")[:n] for _, t in _HARD_TEXTS for c in trees.CHARSETS for n in trees.LENGTHS}
+    rows = [(hashlib.sha256(x).hexdigest(), x) for x in cuts if len(x) >= 4] + [(f"adv_{i:02d}", x) for i, x in enumerate(trees.ADVERSARIAL)]
+    return f"SELECT * FROM (VALUES {', '.join(f"('{k}', '{x.hex().upper()}')" for k, x in sorted(rows))}) v(item_id, payload)"
+
+
+@query(_hard_sql())
 def s9_hard_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = spark.createDataFrame([(1, "Größe und Maß über Straßen"), (2, "Съешь ещё этих мягких булок"), (3, "いろはにほへと ちりぬるを"), (4, "plain ascii text")], "text_id int, text string")
+    texts = spark.createDataFrame(_HARD_TEXTS, "text_id int, text string")
     made = trees.hard_workload(texts).select(F.col("digest").alias("item_id"), "payload")
     return made.unionByName(trees.adversarial(spark)).select("item_id", F.hex("payload").alias("payload"))
 

@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from tracewell.plans import code_queries, graph_queries, match_queries, provenance_queries, similarity_queries, statistics_queries  # noqa: E402, F401
+from tracewell.plans import code_queries, corpus_queries, graph_queries, match_queries, provenance_queries, similarity_queries, statistics_queries  # noqa: E402, F401

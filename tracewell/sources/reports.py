@@ -79,6 +79,38 @@ def exit_code(rows: DataFrame) -> int:
     return int(not rows.where("verdict = 'FAIL'").isEmpty())
 
 
+def patch(additions: dict[str, DataFrame], comparison: DataFrame | None = None, version: str = "1") -> DataFrame:
+    """One JSON document of additions to a report (`value`): an `add` operation for each path (/a/b) with the rows of its frame, a flat copy by dotted path, and the comparison's rows.
+
+    A frame's value is its one row, or a list of its rows in order; they are reports, a few rows each.
+    """
+    spark = next(iter(additions.values())).sparkSession
+    parts = []
+    for path, rows in additions.items():
+        every = F.array_sort(F.collect_list(F.to_json(F.struct(*rows.columns))))
+        parts.append(rows.agg(every.alias("r")).select(F.lit(path).alias("path"), F.when(F.size("r") == 1, F.col("r")[0]).otherwise(F.concat(F.lit("["), F.array_join("r", ","), F.lit("]"))).alias("body")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    quoted = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    out = out.withColumn("dotted", F.replace(F.expr("substring(path, 2)"), F.lit("/"), F.lit("."))).withColumn("op", F.concat(F.lit('{"op":"add","path":'), quoted("path"), F.lit(',"value":'), "body", F.lit("}"))).withColumn("flat", F.concat(quoted("dotted"), F.lit(":"), "body"))
+    in_order = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", c))), lambda x: x[c]), ",")
+    listed = out.agg(*(in_order(c).alias(c) for c in ("op", "flat")))
+    compared = comparison.agg(F.array_sort(F.collect_list(F.to_json(F.struct(*comparison.columns)))).alias("c")) if comparison is not None else spark.range(1).select(F.array().cast("array<string>").alias("c"))
+    both = listed.join(F.broadcast(compared))  # one row each
+    return both.select(F.concat(F.lit(f'{{"schema_version":"{version}","rfc6902_ops":['), "op", F.lit('],"additions":{'), "flat", F.lit('},"comparison":['), F.array_join("c", ","), F.lit("]}")).alias("value"))
+
+
+def console_table(comparison: DataFrame, most: int = 1000) -> str:
+    """Lines of name, expected, recomputed and agreement (as provenance.reconcile gives them) in order of names, and whether all agree; a comparison of more rows than `most` raises."""
+    rows = comparison.orderBy("name").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows to show")
+    show = lambda *x: "{:<45} {:>16} {:>16}  {}".format(*x)
+    lines = [show("name", "expected", "recomputed", "agrees"), *(show(r.name, str(r.expected), str(r.recomputed), "YES" if r.agrees else "NO") for r in rows)]
+    return "\n".join([*lines, f"all agree: {all(r.agrees for r in rows)}"])
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
