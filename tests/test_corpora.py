@@ -4,10 +4,13 @@ import hashlib
 import json
 import random
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tracewell.operators import matching as M
 from tracewell.operators import provenance as P
+from tracewell.plans import registry
 from tracewell.sources import corpora, reports, trees
 
 TEXTS = {"en": "All are equal.", "fr": "Égaux en dignité", "de": "Würde", "es": "mañana", "zh": "你好世界", "ja": "こんにちは", "ko": "안녕", "ru": "Привет", "ar": "مرحبا"}
@@ -92,3 +95,12 @@ def test_patch_documents_and_console(spark):
     expected = spark.createDataFrame([("a", "1"), ("b", "2")], "name string, value string")
     shown = reports.console_table(P.reconcile(expected, expected.where("name = 'a'")))
     assert [x.split()[-1] for x in shown.splitlines()] == ["agrees", "YES", "NO", "False"]
+
+
+@pytest.mark.parametrize("name", sorted(registry.PYTHON_SQL))
+def test_queries_in_python_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    got, expected = registry.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), con.execute(registry.PYTHON_SQL[name]).df()
+    rows = lambda df: sorted(tuple(f"{x:.9f}" if isinstance(x, float) else str(x) for x in r) for r in df[sorted(expected.columns)].itertuples(index=False))
+    assert rows(got) == rows(expected)

@@ -87,10 +87,6 @@ def null_panel(verdicts: DataFrame) -> DataFrame:
     return share.groupBy(F.col("pair.source").alias("source")).agg(F.avg("share").alias("mean"), F.max("share").alias("largest"))
 
 
-#: So many candidates, counted, may be finished pair by pair in the sequential order, each pair in one task.
-TAIL_ROWS = 200_000
-
-
 def _one_by_one(candidates: DataFrame) -> DataFrame:
     """The sequential rule: a pair's candidates in order, each taken if its i and j are free."""
 
@@ -108,11 +104,11 @@ def _one_by_one(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("pair").applyInPandas(run, candidates.schema)
 
 
-def mutual_greedy(candidates: DataFrame, tail_rows: int = TAIL_ROWS) -> DataFrame:
+def mutual_greedy(candidates: DataFrame, tail_rows: int = 0) -> DataFrame:
     """Greedy one-to-one matches: (pair, i, j, distance), taken in ascending (distance, i, j), each i and j of a pair once; rows with a null in these take no part.
 
     Candidates are in total order, so every one that is the first of both its i and its j would be taken by the sequential rule too. A round takes all of those at
-    once and drops what they touch, until tail_rows or fewer are left, which the sequential rule finishes: the result is the same for every tail_rows, and no task gets more rows than that.
+    once and drops what they touch, until tail_rows or fewer are left, which the sequential rule finishes: the result is the same for every tail_rows, and no task gets more rows than that. With 0 there are rounds alone, and no Python.
     """
     from tracewell.operators.lineage import cut
 

@@ -277,7 +277,7 @@ def _hard_sql() -> str:
     return f"SELECT * FROM (VALUES {', '.join(f"('{k}', '{x.hex().upper()}')" for k, x in sorted(rows))}) v(item_id, payload)"
 
 
-@query(_hard_sql())
+@query(_hard_sql(), python=True)
 def s9_hard_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = spark.createDataFrame(_HARD_TEXTS, "text_id int, text string")
     made = trees.hard_workload(texts).select(F.col("digest").alias("item_id"), "payload")

@@ -48,7 +48,8 @@ def _loose(payload: bytes) -> tuple[str, float]:
 @query(
     """WITH x AS (SELECT doc_id::VARCHAR AS item, text, octet_length(encode(text)) AS bytes FROM documents WHERE text IS NOT NULL)
     SELECT item, 'strict' AS impl, CASE WHEN bytes = 0 THEN 'ERR:ValueError' WHEN bytes = length(text) THEN 'ascii' ELSE 'utf-8' END AS enc, CASE WHEN bytes = 0 THEN NULL WHEN bytes = length(text) THEN 1.0 ELSE 0.99 END::DOUBLE AS conf FROM x
-    UNION ALL SELECT item, 'loose', CASE WHEN bytes = length(text) THEN 'US-ASCII' ELSE 'ISO_8859-1' END, CASE WHEN bytes = length(text) THEN 0.75 ELSE 0.5 END FROM x"""
+    UNION ALL SELECT item, 'loose', CASE WHEN bytes = length(text) THEN 'US-ASCII' ELSE 'ISO_8859-1' END, CASE WHEN bytes = length(text) THEN 0.75 ELSE 0.5 END FROM x""",
+    python=True,
 )
 def s13_detector_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two detectors over every document's UTF-8."""

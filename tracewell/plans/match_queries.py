@@ -144,7 +144,7 @@ def q8_greedy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.mutual_greedy(_candidates(spark, sf_dir))
 
 
-@query(_IN_ORDER_SQL)
+@query(_IN_ORDER_SQL, python=True)
 def j4_in_order_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _all_pairs(descriptors(spark, sf_dir))
     shape = F.struct("arity", "loop").alias("sig")

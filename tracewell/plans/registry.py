@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: SQL of queries that need Python on executors (codecs, detectors, sequential rules); those of ORACLE_SQL run without.
+PYTHON_SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable:
+def query(sql: str | None = None, python: bool = False) -> Callable:
     """Register a query under its function's name."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            (PYTHON_SQL if python else ORACLE_SQL)[f.__name__] = sql
         return f
 
     return add
