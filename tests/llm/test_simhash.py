@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tracewell.llm import simhash as S
 from tracewell.llm.common import Scratch
@@ -139,6 +140,34 @@ def test_similar_copies_are_decided_by_the_sets(spark, monkeypatch, small):
     assert got == sorted(((d, c) for (d, _), c in zip(rows, plain_similar(rows))), key=str)
 
 
+@pytest.mark.parametrize("small", [48, 2])
+def test_similar_copies_meet_in_the_blocks_of_their_fingerprints(spark, monkeypatch, small):
+    monkeypatch.setattr(S, "SMALL", small)
+    monkeypatch.setattr(S, "PER_CHUNK", 1)
+    signatures = S.set_signatures
+    monkeypatch.setattr(S, "set_signatures", lambda *a: signatures(*a).withColumn("keys", F.array("node")))  # no two sets share a band
+    rng = random.Random(4)
+    text = lambda n: [f"y{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(12):
+        base = text(150)
+        for j in range(8):
+            copy = list(base)
+            for at in rng.sample(range(150), rng.randrange(4)):
+                copy[at] = text(1)[0]
+            rows.append((10 * k + j, " ".join(copy)))
+    rows += [(1000 + k, "same " * 3000 + " ".join(text(20))) for k in range(3)]  # few bits apart, but the sets differ
+    fps = {d: plain_fingerprint(t, 5) for d, t in rows}
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    few = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4
+    near = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    got = sorted((r.doc_id, r.component_id) for r in S.similar_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    low = plain_components([(d, d) for d, _ in rows], lambda a, b: few(a, b) and near(a, b))
+    assert got == sorted((d, c) for (d, _), c in zip(rows, low))
+    assert sum(d != c for d, c in got) > 20 and few(1000, 1001) and not near(1000, 1001)
+    assert any(near(a, b) and not few(a, b) for a, _ in rows for b, _ in rows)  # these are the bands' part
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_copies(empty).count() == 0 and S.similar_copies(empty).count() == 0

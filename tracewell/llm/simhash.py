@@ -153,10 +153,10 @@ def links(keyed: DataFrame, words: list[str], bits: int, scratch: Scratch) -> Da
 
 
 def block_keys(fps: DataFrame, count: int, bits: int) -> DataFrame:
-    """fps(node, f0) with every key of each fingerprint: all pairs at `bits` or fewer differing bits share one."""
+    """fps(node, f0, ...) with every key of each fingerprint: all pairs at `bits` or fewer differing bits share one."""
     masks = key_masks(bits, blocks_for(count, bits))
     keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("f0").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)]))
-    return fps.select("node", "f0", keys.alias("x")).select("node", "f0", "x.k", "x.key")
+    return fps.select(*fps.columns, keys.alias("x")).select(*fps.columns, "x.k", "x.key")
 
 
 def _grouped(docs: DataFrame, nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -200,9 +200,9 @@ def _node(h: np.ndarray) -> int:
 
 
 def set_signatures(documents: DataFrame, shingle: int = 5) -> DataFrame:
-    """The columns but `text`, node (a hash of the set of word shingles), size of the set, and one MinHash key a band. Texts without words are left out."""
+    """The columns but `text`, node (a hash of the set of word shingles), size of the set, f0 (the text's fingerprint), and one MinHash key a band. Texts without words are left out."""
     rest = [c for c in documents.columns if c != "text"]
-    names = [*rest, "node", "size", "keys"]
+    names = [*rest, "node", "size", "f0", "keys"]
     factors = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 
     def keys(h: np.ndarray) -> np.ndarray:
@@ -219,10 +219,11 @@ def set_signatures(documents: DataFrame, shingle: int = 5) -> DataFrame:
         for batch, some, sets in _shingles(batches, shingle):
             node = np.array([_node(h) for h in sets], np.uint64).view(np.int64)
             signed = np.array([keys(h) for h in sets], np.uint64).reshape(-1, BANDS).view(np.int64)
-            cols = [*(batch.column(c).take(pa.array(some)) for c in rest), pa.array(node), pa.array([len(h) for h in sets], pa.int64()), pa.array(list(signed), pa.list_(pa.int64()))]
+            fps = np.array([fingerprint(x, shingle) for x in batch.column("text").take(pa.array(some)).to_pylist()], np.uint64).view(np.int64)
+            cols = [*(batch.column(c).take(pa.array(some)) for c in rest), pa.array(node), pa.array([len(h) for h in sets], pa.int64()), pa.array(fps), pa.array(list(signed), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = T.StructType([*documents.select(*rest).schema.fields, *(T.StructField(c, T.LongType()) for c in ("node", "size")), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*documents.select(*rest).schema.fields, *(T.StructField(c, T.LongType()) for c in ("node", "size", "f0")), T.StructField("keys", T.ArrayType(T.LongType()))])
     return documents.select(*rest, "text").mapInArrow(run, schema)
 
 
@@ -238,8 +239,8 @@ def shingle_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
     return found.groupBy("node").agg(F.any_value("shingles").alias("shingles"))
 
 
-def _set_forest(nodes: np.ndarray, flat: np.ndarray, first: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct nodes; node i has the shingles flat[first[i]:first[i + 1]]."""
+def _set_forest(nodes: np.ndarray, fps: np.ndarray, flat: np.ndarray, first: np.ndarray, similarity: float, bits: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among distinct nodes whose fingerprints differ in at most `bits` bits; node i has the shingles flat[first[i]:first[i + 1]]."""
     size = np.diff(first)
     names, flat = np.unique(flat, return_inverse=True)
     own, left, out = np.zeros(len(names), bool), np.arange(len(nodes)), []
@@ -247,7 +248,7 @@ def _set_forest(nodes: np.ndarray, flat: np.ndarray, first: np.ndarray, similari
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             i = queue.pop()
-            at = left[np.minimum(size[left], size[i]) / np.maximum(size[left], size[i]) >= similarity]
+            at = left[(np.minimum(size[left], size[i]) / np.maximum(size[left], size[i]) >= similarity) & (np.bitwise_count(fps[left] ^ fps[i]) <= bits)]
             if not len(at):
                 continue
             own[flat[first[i] : first[i + 1]]] = True
@@ -262,7 +263,7 @@ def _set_forest(nodes: np.ndarray, flat: np.ndarray, first: np.ndarray, similari
     return out
 
 
-def _set_forests(similarity: float):
+def _set_forests(similarity: float, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by k, key, i, j."""
         held, last = [], None
@@ -272,7 +273,8 @@ def _set_forests(similarity: float):
             nodes, at = np.unique(rows["node"].to_numpy(), return_index=True)
             sets = rows["shingles"].combine_chunks().take(pa.array(at))
             first = np.concatenate([[0], np.cumsum(pc.list_value_length(sets).to_numpy())])
-            a, b = np.array(_set_forest(nodes, sets.flatten().to_numpy(), first, similarity), np.int64).reshape(-1, 2).T
+            fps = rows["f0"].to_numpy()[at].view(np.uint64)
+            a, b = np.array(_set_forest(nodes, fps, sets.flatten().to_numpy(), first, similarity, bits if last[0] >= BANDS else 64), np.int64).reshape(-1, 2).T
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
@@ -280,7 +282,7 @@ def _set_forests(similarity: float):
                 continue
             cols = [batch.column(c).to_numpy() for c in ("k", "key", "i", "j")]
             cuts = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1).tolist(), batch.num_rows]
-            rows = batch.select(["node", "shingles"])
+            rows = batch.select(["node", "f0", "shingles"])
             for a, b in zip(cuts, cuts[1:]):
                 if (group := tuple(c[a] for c in cols)) != last and held:
                     yield flush()
@@ -293,17 +295,20 @@ def _set_forests(similarity: float):
     return run
 
 
-def set_links(nodes: DataFrame, sets_of, similarity: float, scratch: Scratch) -> DataFrame:
+def set_links(nodes: DataFrame, sets_of, similarity: float, bits: int, scratch: Scratch) -> DataFrame:
     """Edges (a, b) between nodes that share a key and whose sets have a Jaccard similarity of `similarity` or more, by the sets themselves.
 
-    nodes: node, size and keys, one row a node; sets_of gives node and shingles of a table of nodes. As with links(), a key of over SMALL nodes gives a forest.
+    Fingerprints of at most `bits` differing bits meet in their blocks' keys, all of them, and are compared bit by bit; sets whose fingerprints lie further apart meet in `keys`.
+    nodes: node, size, f0 and keys, one row a node; sets_of gives node and shingles of a table of nodes. As with links(), a key of over SMALL nodes gives a forest.
     """
-    keyed = nodes.select("node", "size", F.posexplode("keys").alias("k", "key"))
+    blocks = block_keys(nodes.select("node", "size", "f0"), nodes.count(), bits).withColumn("k", F.col("k") + BANDS)
+    keyed = blocks.unionByName(nodes.select("node", "size", "f0", F.posexplode("keys").alias("k", "key")))
     counts = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     keyed = scratch.write(keyed.join(counts, ["k", "key"]), "keyed")
     small = keyed.where(F.col("n") <= SMALL)
-    sides = [small.select("k", "key", F.col("node").alias(x), F.col("size").alias(f"{x}_size")) for x in ("a", "b")]
+    sides = [small.select("k", "key", F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("f0").alias(f"{x}_f0")) for x in ("a", "b")]
     fits = F.least("a_size", "b_size") / F.greatest("a_size", "b_size") >= similarity  # or the similarity is less
+    fits &= (F.bit_count(F.col("a_f0").bitwiseXOR(F.col("b_f0"))) <= bits) == (F.col("k") >= BANDS)  # blocks have all pairs of few bits, bands add the others
     pairs = scratch.write(sides[0].join(sides[1], ["k", "key"]).where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct(), "pairs")
     large = keyed.where(F.col("n") > SMALL).withColumn("chunks", F.ceil(F.sqrt("n") / PER_CHUNK).cast("int"))
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
@@ -312,26 +317,27 @@ def set_links(nodes: DataFrame, sets_of, similarity: float, scratch: Scratch) ->
     shared = F.size(F.array_intersect("x", "y"))
     pairs = both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b")
     large = large.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    large = large.select("k", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(sets, "node")
-    forests = large.repartition("k", "key", "i", "j").sortWithinPartitions("k", "key", "i", "j").mapInArrow(_set_forests(similarity), "a long, b long")
+    large = large.select("k", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "f0").join(sets, "node")
+    forests = large.repartition("k", "key", "i", "j").sortWithinPartitions("k", "key", "i", "j").mapInArrow(_set_forests(similarity, bits), "a long, b long")
     return pairs.unionByName(forests).distinct()
 
 
-def similar_copies(documents: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, keep: list[str] | None = None) -> DataFrame:
+def similar_copies(documents: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, keep: list[str] | None = None, bits: int = 4) -> DataFrame:
     """doc_id, the columns `keep`, root and component_id: groups of documents linked by a Jaccard similarity of `similarity` or more of their word shingles.
 
-    root is the group itself (the hash of one of its sets), component_id its smallest doc_id, null if there is none. At 0.8 fingerprints differ in 15 of 100 bits, so that no block long
-    enough to be rare is shared for sure, and no number of bits parts 0.8 from less. Here equal MinHash bands stand in for blocks, and the sets of shingles themselves decide; they
-    are made again from the texts of the nodes that share a key. Texts without words are no copies of anything.
+    root is the group itself (the hash of one of its sets), component_id its smallest doc_id, null if there is none. The steps are those of near_copies, with an exact check before the
+    groups: fingerprints, pigeonhole blocks, which meet all pairs of `bits` or fewer differing bits, the differing bits themselves, and then the sets of shingles, made again from the texts of
+    the nodes that share a key. At 0.8 fingerprints differ in 15 of 100 bits, where no block long enough to be rare is shared for sure; so that no link is lost there, sets whose
+    fingerprints differ in more bits meet in MinHash bands as well. Texts without words are no copies of anything.
     """
     scratch = Scratch(documents.sparkSession, "simhash")
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(keep or []), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     signed = scratch.write(set_signatures(rows, shingle), "signatures")
-    nodes = scratch.write(signed.groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("text_hash").alias("text_hash"), F.min("size").alias("size"), F.min("keys").alias("keys")), "distinct")
+    nodes = scratch.write(signed.groupBy("node").agg(F.min("doc_id").alias("doc"), F.min("text_hash").alias("text_hash"), F.min("size").alias("size"), F.min("f0").alias("f0"), F.min("keys").alias("keys")), "distinct")
 
     def sets_of(needed: DataFrame) -> DataFrame:
         texts = scratch.write(nodes.join(needed, "node", "left_semi").select("text_hash").distinct(), "texts")
         return shingle_sets(rows.select("text", "text_hash").join(F.broadcast(texts) if texts.count() <= BROADCAST_IDS else texts, "text_hash", "left_semi"), shingle)
 
-    edges = set_links(nodes.select("node", "size", "keys"), sets_of, similarity, scratch)
+    edges = set_links(nodes.select("node", "size", "f0", "keys"), sets_of, similarity, bits, scratch)
     return _grouped(signed.select("doc_id", *(keep or []), "node"), nodes.select("node", "doc"), edges, scratch).drop("node")
