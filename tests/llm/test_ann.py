@@ -59,3 +59,29 @@ def test_odd_rows(spark):
     assert all(i != 0 for i, _ in got[0])
     assert found(spark, []) == {}
     assert found(spark, [(0, [1.0, 2.0])]) == {}
+
+
+def test_only_pairs_that_reach_the_bound_are_added_up(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(4000, 64)).astype(np.float32)
+    index = A.Index(rows[:2000], 1)
+    index.tune(np.arange(2000), rows[:2000], 20, 500)
+    codes, q = index.place(rows)[1], rows[:40]
+    every = np.array([A.exact(x[None, :], rows) for x in q])
+    bound = np.sort(every, axis=1)[:, -150]  # equal to a score: that pair is in
+    seen, exact = [], A.exact
+    monkeypatch.setattr(A, "exact", lambda a, b: seen.append(len(b)) or exact(a, b))
+    of, r, s = A.search_list(index, 0, q, bound, rows, codes, 20)
+    close = index.approximate(q, 0, codes).T >= (bound - index.slack)[:, None].astype(np.float32)
+    assert sorted(zip(of, r, s)) == sorted((i, j, every[i, j]) for i, j in zip(*np.nonzero(close & (every >= bound[:, None]))))
+    assert sum(seen) <= 40 * 151 < 40 * 201  # all that pass the approximate scores, up to 201 a query, before
+
+
+@pytest.mark.parametrize("size", [1e-160, 1e-30, 1.0, 1e30, 1e160])
+def test_the_bound_of_the_matrix_product_loses_no_pair(size):
+    rng = np.random.default_rng(4)
+    rows, q = rng.normal(size=(300, 24)) * size, rng.normal(size=(20, 24)) * size
+    every = np.array([[A.exact(x, y) for x in q] for y in rows])
+    for at in (0, 150, 299):  # bounds that are scores themselves
+        assert A.may_reach(q, rows, every[at])[every >= every[at]].all()
+    assert A.may_reach(q, rows, np.full(20, -np.inf)).all() and A.may_reach(q, rows[:0], every[0]).shape == (0, 20)

@@ -8,7 +8,8 @@ RERANK x k are ranked again by the exact inner product in double precision on th
 The number of lists to visit is measured: queries from the sample are searched in it by brute force, and as many lists are visited as hold the share
 TARGET of the true neighbours. Clustered vectors need few lists; vectors without any structure need about half of them, at any number of lists.
 An eighth of the rows, at most the sample, are anchors: a query's k best among them are candidates too, and their worst score bounds its k-th best score from below,
-so rows under it are neither reranked nor returned.
+so rows under it are neither reranked nor returned. Before the exact products are added up in their fixed order, one matrix product a list, with a bound of its rounding error,
+leaves out the pairs that can't reach that score; it loses none that can.
 
 Work: lists are packed into groups of about ROW_CHUNK rows; a query is sent once to each group that it visits, with the lists that it visits there, and not once a list. Queries are cut into
 chunks of about QUERY_CHUNK; a task holds one group and one chunk. Vectors without structure make every query visit most groups, so that the work grows with queries times rows;
@@ -145,6 +146,23 @@ def _first(q: np.ndarray, r: np.ndarray, score: np.ndarray, most: int) -> tuple[
     return q[inside], r[inside]
 
 
+def may_reach(q: np.ndarray, rows: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """For each row (down) and query (across), False only if exact() is surely less than the query's bound."""
+    with np.errstate(over="ignore", invalid="ignore"):  # what is not a number isn't left out
+        error = 4 * q.shape[1] * (2.0**-52 * np.sqrt((q * q).sum(axis=1)) * np.sqrt((rows * rows).sum(axis=1).max(initial=0)) + 2.0**-1000)
+        return ~(rows @ q.T < bound - error)
+
+
+def search_list(index: Index, i: int, q: np.ndarray, bound: np.ndarray, rows: np.ndarray, codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, row and exact score of the pairs in list i that reach the query's bound, of the first RERANK x k by approximate score."""
+    near, wide = index.approximate(q, i, codes), rows.astype(np.float64)
+    r, of = np.nonzero((near >= (bound - index.slack)[None, :].astype(np.float32)) & may_reach(q.astype(np.float64), wide, bound))
+    of, r = _first(of, r, near[r, of], RERANK * k + 1)
+    s = np.concatenate([exact(q[of[x : x + 4096]], rows[r[x : x + 4096]]) for x in range(0, len(of), 4096)] or [np.zeros(0)])
+    fit = s >= bound[of]
+    return of[fit], r[fit], s[fit]
+
+
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> tuple[DataFrame, int, int]:
     """(id, v) of the rows that take part, their number, and their vectors' length."""
     v = F.col("v")
@@ -238,12 +256,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec
                 every = whose[asked == i]
                 for at in range(0, len(every), _BLOCK):
                     some = every[at : at + _BLOCK]
-                    near = shared.value.approximate(q_v[some], i, codes[low:high])
-                    r, q = np.nonzero(near >= (bound[some] - shared.value.slack)[None, :].astype(np.float32))
-                    q, r = _first(q, r, near[r, q], RERANK * k + 1)
-                    s = np.concatenate([exact(q_v[some[q[x : x + 4096]]], v[low + r[x : x + 4096]]) for x in range(0, len(q), 4096)] or [np.zeros(0)])
-                    fit = (s >= bound[some[q]]) & (ids[low + r] != q_ids[some[q]])
-                    out.append((some[q[fit]], low + r[fit], s[fit]))
+                    q, r, s = search_list(shared.value, i, q_v[some], bound[some], v[low:high], codes[low:high], k)
+                    other = ids[low + r] != q_ids[some[q]]
+                    out.append((some[q[other]], low + r[other], s[other]))
         q, r, s = (np.concatenate(x) for x in zip(*out))
         if len(q):  # the best of the group
             order = np.lexsort((ids[r], -s, q))
