@@ -1,17 +1,22 @@
 """Gated nearest matches and one-to-one matches of descriptors.
 
-A descriptor has arity, tot (its size), cyc, depth, ret, loop and a histogram h (map<string,int>). Gates come before cosines: the join's condition holds the gate alone, so that a
-cosine is worked out for survivors. The gate on the ratio of sizes becomes an equality: sizes are bucketed by their logarithm, and the other side is offered to the
-neighbouring buckets, so that the join is a hash join on many values and never a nested loop.
+A descriptor has arity, tot (its size), cyc, depth, ret, loop and a histogram h (map<string,int>, or counts in an array of one length). Gates come before cosines. The gate on the
+ratio of sizes becomes an equality: sizes are bucketed by their logarithm, and the other side is offered to the buckets that can hold a partner, so that both sides meet in a cogroup and
+never in a nested loop. A cogroup is cut into blocks, so that no task gets more rows than two blocks have; inside, `nearest` searches with matrix products.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tracewell.functions.columns import band, map_cosine
+from tracewell.functions.columns import band
+from tracewell.operators import nearest as N
 
 DESCRIPTOR = ["arity", "tot", "cyc", "depth", "ret", "loop", "h"]
 
@@ -23,42 +28,61 @@ def coverage(rows: DataFrame, group: list[str], order: list[Column | str], share
     return rows.withColumn("_n", n).withColumn("_i", F.row_number().over(w.orderBy(*order))).where(F.col("_i") <= F.col("_n")).drop("_n", "_i")
 
 
-def _sides(a: DataFrame, b: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    return tuple(df.select("pair", *(F.col(c).alias(f"{c}_{x}") for c in ["id", *columns])) for df, x in ((a, "a"), (b, "b")))
+#: Sizes of one bucket differ by this factor at most.
+_WIDTH = 4.0
+#: About so many rows of each side make a block.
+BLOCK = 50000
 
 
-def _ratio(low: float, high: float) -> Column:
-    ratio = F.try_divide(F.col("tot_b").cast("double"), F.col("tot_a").cast("double"))
-    return (F.col("tot_a") > 0) & ratio.between(low, high)
+def _offered(a: DataFrame, b: DataFrame, low: float, high: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a bucket of their sizes' logarithm, b in each that can hold an a of which it has low to high times the size. Sizes of zero meet nothing."""
+    bucket = lambda tot: F.floor(F.log(tot) / F.log(F.lit(_WIDTH))).cast("int")
+    tot = F.col("tot").cast("double")
+    return a.where("tot > 0").withColumn("at", bucket(tot)), b.where("tot > 0").withColumn("at", F.explode(F.sequence(bucket(tot / (high * 1.01)), bucket(tot / (low * 0.99)))))
 
 
-def _offered(left: DataFrame, right: DataFrame, width: float) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a bucket of their sizes' logarithm, the right one offered to three: sizes whose ratio is below `width` meet. Sizes of zero meet nothing."""
-    bucket = lambda c: F.floor(F.log(F.col(c).cast("double")) / F.log(F.lit(width))).cast("int")
-    left = left.where("tot_a > 0").withColumn("at_a", bucket("tot_a"))
-    return left, right.where("tot_b > 0").withColumn("at_b", F.explode(F.array(*[bucket("tot_b") + d for d in (-1, 0, 1)])))
+def _in_blocks(a: DataFrame, b: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of keys that both sides have, in blocks (i, j): every block of a meets every block of b with its keys."""
+    blocks = lambda df, n: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(n))
+    n = blocks(a, "n_i").join(blocks(b, "n_j"), keys)
+    draw = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    return a.join(n, keys).withColumn("i", draw("n_i")).withColumn("j", every("n_j")).drop("n_i", "n_j"), b.join(n, keys).withColumn("j", draw("n_j")).withColumn("i", every("n_i")).drop("n_i", "n_j")
 
 
-def _best(found: DataFrame, src: DataFrame) -> DataFrame:
-    """For each source descriptor its best candidate; null and 0 where there is none."""
-    best = found.groupBy("pair", "id_a").agg(F.max_by(F.struct("id_b", "cosine"), F.struct(F.col("cosine"), F.expr("-order_b"))).alias("m"))
-    return src.select("pair", F.col("id").alias("id_a"), "cyc").join(best, ["pair", "id_a"], "left").select("pair", "id_a", "cyc", F.col("m.id_b").alias("id_b"), F.coalesce("m.cosine", F.lit(0.0)).alias("cosine"))
+def _gated_best(a: DataFrame, b: DataFrame, equal: list[str], near: list[str], low: float, high: float) -> DataFrame:
+    """For each descriptor of a its best candidate of those that are equal and within one in the columns named, and from low to high times the size; null and 0 where there is none."""
+    keys, gates = ["pair", *equal, "at"], [*near, "tot", "order", "h"]
+    left, right = _in_blocks(*_offered(*(df.select("pair", *equal, "id", *gates).na.drop(subset=[*equal, *near, "tot", "h"]) for df in (a, b)), low, high), keys)
+    pair, kind, order = (a.schema[c].dataType for c in ("pair", "id", "order"))
+    out = T.StructType([T.StructField("pair", pair), T.StructField("id_a", kind), T.StructField("m", T.StructType([T.StructField("id_b", kind), T.StructField("cosine", T.DoubleType()), T.StructField("order_b", order)]))])
+
+    def search(x: pa.Table, y: pa.Table) -> pa.Table:
+        y = y.rename_columns([c.removeprefix("b_") for c in y.column_names])
+        h_x, h_y = N.histograms(x["h"], y["h"])
+        stack = lambda t: np.stack([N.numbers(t, c) for c in near], axis=1)
+        at, best = N.nearest(stack(x), N.numbers(x, "tot"), h_x, stack(y), N.numbers(y, "tot"), N.numbers(y, "order"), h_y, low, high)
+        rows = np.flatnonzero(at >= 0)
+        hit = y.select(["id", "order"]).take(pa.array(at[rows])).combine_chunks()
+        one = lambda c: pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type)
+        found = pa.StructArray.from_arrays([one(hit["id"]), pa.array(best[rows]), one(hit["order"])], ["id_b", "cosine", "order_b"])
+        return pa.table({"pair": x["pair"].take(pa.array(rows)), "id_a": x["id"].take(pa.array(rows)), "m": found})
+
+    by = [*keys, "i", "j"]
+    right = right.select(*(F.col(c).alias(f"b_{c}") for c in right.columns))  # both sides may come from one plan: each gets columns of its own
+    found = left.groupBy(*by).cogroup(right.groupBy(*(f"b_{c}" for c in by))).applyInArrow(search, out)
+    best = found.groupBy("pair", "id_a").agg(F.max_by("m", F.struct(F.col("m.cosine"), F.expr("-m.order_b"))).alias("m"))
+    return a.select("pair", F.col("id").alias("id_a"), "cyc").join(best, ["pair", "id_a"], "left").select("pair", "id_a", "cyc", F.col("m.id_b").alias("id_b"), F.coalesce("m.cosine", F.lit(0.0)).alias("cosine"))
 
 
 def naive_best(a: DataFrame, b: DataFrame) -> DataFrame:
     """Best match by arity within one and half to twice the size. a, b: (pair, id, order, descriptor)."""
-    left, right = _offered(*_sides(a, b, [*DESCRIPTOR, "order"]), 2.01)
-    gate = (left.pair == right.pair) & (F.col("at_a") == F.col("at_b")) & (F.abs(F.col("arity_a") - F.col("arity_b")) <= 1) & _ratio(0.5, 2.0)
-    gated = left.join(right, gate).drop(right.pair)
-    return _best(gated.withColumn("cosine", map_cosine(F.col("h_a"), F.col("h_b"))), a)
+    return _gated_best(a, b, [], ["arity"], 0.5, 2.0)
 
 
 def strict_best(a: DataFrame, b: DataFrame) -> DataFrame:
     """Best match by equal loops; arity, depth and returns within one; 0.67 to 1.5 times the size."""
-    left, right = _offered(*_sides(a, b, [*DESCRIPTOR, "order"]), 1.51)
-    near = lambda c: F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) <= 1
-    gate = (left.pair == right.pair) & (F.col("at_a") == F.col("at_b")) & (F.col("loop_a") == F.col("loop_b")) & near("arity") & near("depth") & near("ret") & _ratio(0.67, 1.5)
-    return _best(left.join(right, gate).drop(right.pair).withColumn("cosine", map_cosine(F.col("h_a"), F.col("h_b"))), a)
+    return _gated_best(a, b, ["loop"], ["arity", "depth", "ret"], 0.67, 1.5)
 
 
 def verdict(matches: DataFrame, twin: float = 0.95) -> DataFrame:
@@ -134,27 +158,18 @@ def in_order_greedy(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame
     # both sides may come from one plan: each gets columns of its own, or the cogroup would mix them up
     sig = F.to_json(F.struct("sig")).alias("sig")
     a, b = a.select("pair", sig, "order", "id", "h"), b.select(*(F.col(c).alias(f"b_{c}") for c in ("pair", "order", "id", "h")), sig.alias("b_sig"))
-
-    def match(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:  # such a side has no columns either
-            return pd.DataFrame(columns=["pair", "id_a", "id_b", "cosine"])
-        left, right = left.sort_values("order"), right.sort_values("b_order")
-        norm = lambda h: sum(v * v for v in h.values()) ** 0.5
-        free = [(r.b_id, dict(r.b_h), norm(dict(r.b_h))) for r in right.itertuples()]
-        out = []
-        for row in left.itertuples():
-            h = dict(row.h)
-            size = norm(h)
-            scores = [sum(v * g.get(k, 0) for k, v in h.items()) / (size * n) if size and n else 0.0 for _, g, n in free]
-            best = max(range(len(free)), key=lambda i: scores[i], default=None)
-            if best is not None and scores[best] >= least:
-                out.append((key[0], row.id, free[best][0], scores[best]))
-                del free[best]
-        return pd.DataFrame(out, columns=["pair", "id_a", "id_b", "cosine"])
-
-    pair = a.schema["pair"].dataType.simpleString()
-    kind = a.schema["id"].dataType.simpleString()
-    return a.groupBy("pair", "sig").cogroup(b.groupBy("b_pair", "b_sig")).applyInPandas(match, f"pair {pair}, id_a {kind}, id_b {kind}, cosine double")
+    out = T.StructType([T.StructField(c, t) for c, t in (("pair", a.schema["pair"].dataType), ("id_a", a.schema["id"].dataType), ("id_b", a.schema["id"].dataType), ("cosine", T.DoubleType()))])
+
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return out_arrow.empty_table()
+        left, right = left.sort_by("order"), right.sort_by("b_order")
+        at, to, cosine = N.in_order(*N.histograms(left["h"], right["b_h"]), least)
+        at, to = pa.array(at), pa.array(to)
+        return pa.table({"pair": left["pair"].take(at), "id_a": left["id"].take(at), "id_b": right["b_id"].take(to), "cosine": cosine})
+
+    out_arrow = to_arrow_schema(out)
+    return a.groupBy("pair", "sig").cogroup(b.groupBy("b_pair", "b_sig")).applyInArrow(match, out)
 
 
 def match_rollup(matched: DataFrame, n_a: int, n_b: int) -> dict:
