@@ -44,8 +44,42 @@ def test_no_join_makes_the_pairs_of_descriptors(spark, name):
     assert "FlatMapCoGroupsInArrow" in text and "map_zip_with" not in text and "text#" not in text
 
 
-@pytest.mark.parametrize("name", ["j5_naive_match", "j6_strict_match", "q17_method_trace", "q18_gate_sweep", "q19_null_panel"])
+@pytest.mark.parametrize("name", ["j4_in_order_matches", "j5_naive_match", "j6_strict_match", "q8_greedy_matches", "q17_method_trace", "q18_gate_sweep", "q19_null_panel"])
 def test_match_query_equals_sql(spark, con, name):  # noqa: F811
     found, expected = registry.QUERIES[name](spark, SF).toPandas(), con.execute(registry.PYTHON_SQL[name]).df()
     assert sorted(found.columns) == sorted(expected.columns)
     assert rows(found) == rows(expected)
+
+
+def test_in_order_kernel_equals_the_plain_loop():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 3, (300, 3)).astype(float), rng.integers(0, 3, (250, 3)).astype(float)
+    free, expected = list(range(len(b))), []
+    cos = lambda x, y: (lambda n: float(x @ y) / n if n else 0.0)(math.sqrt(x @ x) * math.sqrt(y @ y))
+    for i, x in enumerate(a):
+        best = max(free, key=lambda j: cos(x, b[j]), default=None)
+        if best is not None and cos(x, b[best]) >= 0.9:
+            expected.append((i, best, cos(x, b[best])))
+            free.remove(best)
+    assert list(zip(*(v.tolist() for v in N.in_order(a, b, 0.9)))) == expected
+
+
+def test_greedy_matches_pair_every_two_sources(spark):
+    pairs = {r.pair for r in registry.QUERIES["q8_greedy_matches"](spark, SF).select("pair").distinct().collect()}
+    assert pairs == {f"src{i}>src{j}" for i in range(20) for j in range(20) if i != j}
+
+
+@pytest.mark.parametrize("n_a, n_b, spread", [(90, 70, 3), (40, 120, 2), (150, 150, 6), (0, 5, 3)])
+def test_greedy_kernel_equals_the_plain_loop(n_a, n_b, spread):
+    rng = np.random.default_rng(n_a)
+    a, b = rng.integers(0, spread, (n_a, 3)).astype(float), rng.integers(0, spread, (n_b, 3)).astype(float)
+    x, y = rng.integers(0, 3, (n_a, 2)).astype(float), rng.integers(0, 4, (n_b, 2)).astype(float)
+    rel = lambda u, v: abs(u - v) / (u + v) if u + v else 0.0
+    cos = lambda u, v: (lambda n: float(u @ v) / n if n else 0.0)(math.sqrt(u @ u) * math.sqrt(v @ v))
+    every = sorted((round(0.6 * (1 - cos(a[i], b[j])) + 0.2 * rel(x[i, 0], y[j, 0]) + 0.2 * rel(x[i, 1], y[j, 1]), 9), i, j) for i in range(n_a) for j in range(n_b))
+    used_i, used_j, expected = set(), set(), []
+    for distance, i, j in every:
+        if i not in used_i and j not in used_j:
+            used_i.add(i), used_j.add(j), expected.append((i, j, abs(distance)))
+    i, j, distance = N.greedy(a, x, b, y)
+    assert list(zip(i.tolist(), j.tolist(), distance.tolist())) == expected

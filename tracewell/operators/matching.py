@@ -149,6 +149,33 @@ def mutual_greedy(candidates: DataFrame, tail_rows: int = 0) -> DataFrame:
     return rest if out is None else out.unionByName(rest)
 
 
+def nearest_greedy(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Greedy one-to-one matches inside equal signatures: (pair, i, j, distance), taken in ascending (distance, i, j), each i and j of a pair once; distances to nine digits.
+
+    a, b: (pair, sig, id, h, depth, ret), an id once in a pair; rows with a null in these take no part. The result is that of `mutual_greedy` over all candidates, which are never written out: as
+    no candidate joins two signatures, each signature of a pair is a task's own, and `nearest.greedy` looks at the candidates that can be next.
+    """
+    columns = ["pair", "sig", "id", "h", "depth", "ret"]
+    one = lambda df: df.na.drop(subset=columns).select("pair", F.to_json(F.struct("sig")).alias("sig"), "id", "h", "depth", "ret")
+    a, b = one(a), one(b)
+    b = b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns))
+    kind = a.schema["id"].dataType
+    out = T.StructType([T.StructField("pair", a.schema["pair"].dataType), T.StructField("i", kind), T.StructField("j", kind), T.StructField("distance", T.DoubleType())])
+    none = to_arrow_schema(out).empty_table()
+
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return none
+        left, right = left.sort_by("id"), right.sort_by("b_id")
+        h_a, h_b = N.histograms(left["h"], right["b_h"])
+        x_a, x_b = (np.stack([N.numbers(t, f"{x}{c}") for c in ("depth", "ret")], axis=1) for t, x in ((left, ""), (right, "b_")))
+        at, to, distance = N.greedy(h_a, x_a, h_b, x_b)
+        at, to = pa.array(at), pa.array(to)
+        return pa.table({"pair": left["pair"].take(at), "i": left["id"].take(at), "j": right["b_id"].take(to), "distance": distance})
+
+    return a.groupBy("pair", "sig").cogroup(b.groupBy("b_pair", "b_sig")).applyInArrow(match, out)
+
+
 def in_order_greedy(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
     """Greedy nearest matches in the left side's order, inside equal signatures: each left row takes the most similar right row that is free, if that reaches `least`.
 

@@ -126,3 +126,85 @@ def in_order(h_a: np.ndarray, h_b: np.ndarray, least: float) -> tuple[np.ndarray
         free = np.delete(free, taken)
     a, b, cosine = zip(*found) if found else ((), (), ())
     return np.array(a, dtype=int), np.array(b, dtype=int), np.array(cosine, dtype=float)
+
+
+#: Candidates that a row keeps of a class; it works out more when these are taken.
+_KEPT = 16
+
+
+def greedy(h_a: np.ndarray, x_a: np.ndarray, h_b: np.ndarray, x_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance): one-to-one matches in ascending (distance, row of a, row of b); x holds two numbers a row.
+
+    Distances are 0.6 (1 - cosine) + 0.2 d + 0.2 e, to nine digits, d and e being the relative differences of the two numbers. Rows of equal numbers are a class: what two classes differ by is
+    the least that their rows can, so a row works out its distances to a class only when nothing nearer is left anywhere. A heap holds each row's nearest free candidate of every class that it
+    has looked at, and the bound of the next one. Memory grows with the rows, not with their pairs.
+    """
+    norm_a, norm_b = norms(h_a), norms(h_b)
+    kinds_a, at_a = np.unique(x_a, axis=0, return_inverse=True)
+    kinds_b, at_b = np.unique(x_b, axis=0, return_inverse=True)
+    at_a, at_b = at_a.ravel(), at_b.ravel()
+    d, e = (cosines(np.abs(u[:, None] - v), np.abs(u)[:, None] + np.abs(v)) for u, v in zip(kinds_a.T, kinds_b.T))
+    bound = np.floor((0.2 * d + 0.2 * e) * 1e9).astype(np.int64) - 2
+    turn = np.argsort(bound, axis=1, kind="stable")
+    bounds, turns = np.take_along_axis(bound, turn, axis=1).tolist(), turn.tolist()
+    members = [np.flatnonzero(at_b == c) for c in range(len(kinds_b))]
+    free_a, free_b = np.ones(len(h_a), dtype=bool), np.ones(len(h_b), dtype=bool)
+    heap, lists = [], {}
+
+    def ranks(rows: np.ndarray, kind: int, c: int) -> np.ndarray:
+        """Distances, in units of 1e-9, of rows to the free members of a class, each with its place in the low 31 bits."""
+        cols = members[c]
+        cosine = cosines(h_a[rows] @ h_b[cols].T, norm_a[rows][:, None] * norm_b[cols])
+        distance = 0.6 * (1 - cosine) + 0.2 * d[kind, c] + 0.2 * e[kind, c]
+        return (np.floor(distance * 1e9 + 0.5).astype(np.int64) << 31) | cols
+
+    def push(i: int, c: int) -> None:
+        """The next free candidate of a row's list."""
+        found = lists[i, c]
+        while found[0]:
+            rank = found[0].pop()
+            if free_b[rank & 0x7FFFFFFF]:
+                heapq.heappush(heap, (rank >> 31, i, rank & 0x7FFFFFFF, c))
+                return
+        if found[1]:
+            look(np.array([i]), at_a[i], c)
+
+    def look(rows: np.ndarray, kind: int, c: int) -> None:
+        members[c] = members[c][free_b[members[c]]]
+        if not len(members[c]):
+            return
+        more = len(members[c]) > _KEPT
+        rank = ranks(rows, kind, c)
+        if more:
+            rank = np.partition(rank, _KEPT - 1, axis=1)[:, :_KEPT]
+        for i, found in zip(rows.tolist(), np.sort(rank, axis=1)[:, ::-1].tolist()):
+            lists[i, c] = (found, more)
+            push(i, c)
+
+    for kind in range(len(kinds_a)):
+        rows = np.flatnonzero(at_a == kind)
+        for s in range(0, len(rows), ROWS):
+            look(rows[s : s + ROWS], kind, turns[kind][0])
+        if len(kinds_b) > 1:
+            for i in rows.tolist():
+                heapq.heappush(heap, (bounds[kind][1], i, -1, 1))
+    out, most = [], min(len(h_a), len(h_b))
+    while heap and len(out) < most:
+        rank, i, j, c = heapq.heappop(heap)
+        if not free_a[i]:
+            continue
+        if j < 0:
+            kind = at_a[i]
+            if c + 1 < len(kinds_b):
+                heapq.heappush(heap, (bounds[kind][c + 1], i, -1, c + 1))
+            look(np.array([i]), kind, turns[kind][c])
+        elif free_b[j]:
+            free_a[i] = free_b[j] = False
+            out.append((i, j, rank))
+        else:
+            push(i, c)
+    found = np.array(out, dtype=np.int64).reshape(-1, 3)
+    i, j, rank = found.T
+    above = cosines((h_a[i] * h_b[j]).sum(axis=1), norm_a[i] * norm_b[j]) > 1
+    near = above & (rank == 0)  # a cosine that was rounded above 1 leaves a negative zero, in SQL too
+    return i, j, np.where(near, -0.0, rank / 1e9)
