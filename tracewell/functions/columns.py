@@ -75,9 +75,12 @@ def words(text: Column, least: int = 4) -> Column:
 
 
 def shingles(items: Column, size: int) -> Column:
-    """Every run of `size` items, joined by spaces; none if there are fewer."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(items) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(items, i, size), " "))
-    return F.when(F.size(items) >= size, runs).otherwise(F.array().cast("array<string>"))
+    """Every run of `size` items, joined by spaces; none if there are fewer.
+
+    The items are bound to a lambda's variable: an expression would be worked out again for every run.
+    """
+    runs = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.size(x) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(x, i, size), " "))
+    return F.element_at(F.transform(F.array(items), lambda x: F.when(F.size(x) >= size, runs(x)).otherwise(F.array().cast("array<string>"))), 1)
 
 
 def is_message(text: Column) -> Column:
