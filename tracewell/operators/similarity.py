@@ -58,9 +58,18 @@ def jaccard(hist: DataFrame, sides: DataFrame | None = None, both_empty: float =
 
 
 def overlap(hist: DataFrame, sides: DataFrame | None = None) -> DataFrame:
-    """(a, b, overlap): the multiset intersection's share of the smaller side; 0 if a side is empty."""
-    least = _common(hist).groupBy("a", "b").agg(F.sum(F.least("ca", "cb")).alias("least"))
-    return _with_sides(least, hist, sides, F.sum("cnt")).select("a", "b", safe_div(F.col("least"), F.least("ma", "mb")).alias("overlap"))
+    """(a, b, overlap): the multiset intersection's share of the smaller side; 0 if a side is empty.
+
+    The sides of a key come together once, and pairs are added up where they are. A side with itself gives its total, so that nothing else reads the relation; `own` is an aggregate so that
+    no filter on it goes below, and all uses of the sums share one shuffle.
+    """
+    holders = hist.groupBy("key").agg(F.collect_list(F.struct("side", "cnt")).alias("s"))
+    both = holders.select("s", F.explode("s").alias("x")).select("x", F.explode("s").alias("y")).where("x.side <= y.side")
+    sums = both.select(F.col("x.side").alias("a"), F.col("y.side").alias("b"), F.least("x.cnt", "y.cnt").alias("n")).groupBy("a", "b").agg(F.sum("n").alias("least"), F.bool_and(F.col("a") == F.col("b")).alias("own"))
+    own = sums.where("own")
+    a, b = (own.select(F.col("a").alias(x), F.col("least").alias(f"m{x}")) for x in "ab")
+    pairs = a.join(b, F.col("a") < F.col("b")) if sides is None else side_pairs(hist, sides).join(a, "a", "left").join(b, "b", "left")
+    return pairs.join(sums.where("not own").select("a", "b", "least"), ["a", "b"], "left").select("a", "b", safe_div(F.col("least"), F.least("ma", "mb")).alias("overlap"))
 
 
 def top_terms(hist: DataFrame, a: str, b: str, n: int = 6) -> DataFrame:

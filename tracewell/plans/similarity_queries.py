@@ -69,7 +69,8 @@ def a4_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def a5_overlap_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("source", words(F.col("text"), 2).alias("w"))
-    hist = S.histogram(docs.select("source", F.explode(shingles(F.col("w"), 5)).alias("gram")), "source", "gram")
+    grams = docs.select("source", F.explode(shingles(F.col("w"), 5)).alias("gram"))
+    hist = S.histogram(grams.repartition("gram"), "source", "gram")  # few are equal in a task, so one shuffle by the gram serves the counts and the sides that share it
     return S.overlap(hist).select("a", "b", F.round("overlap", 9).alias("overlap"))
 
 
